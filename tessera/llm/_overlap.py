@@ -135,6 +135,8 @@ def _run_tasks(num: int, den: int):
             for task, sid, elements, copies, side in zip(*cols):
                 if task != key and held[0]:
                     yield flush()
+                if task == key and held[0] and held[0][-1] == sid:
+                    continue  # a repeated row
                 key = task
                 held[0].append(sid)
                 held[1].append(np.frombuffer(elements, dtype=np.uint64))

@@ -4,7 +4,9 @@
 2. A fixed-size counting sketch over all shingles orders them from rare to frequent.
    Any order is exact, so the sketch's error costs no link.
 3. Prefix filter: sets that can link share one of their n - ceil(t n) + 1 rarest
-   shingles. Sets sharing one are joined to a candidate group as a star, never as pairs.
+   shingles. Among sets that share one, a sound bound on their overlap (differences of
+   how many shingles fall in each part of the hash range) tells which can link at all;
+   a spanning forest of those, never all pairs, forms the candidate groups.
 4. Inside a group, blocks of sets are searched by T-occurrence (``_overlap``).
 5. Distributed union-find over the links gives the classes.
 """
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _overlap
 from tessera.llm._graph import components
+from tessera.llm._overlap import Forest
 from tessera.llm._session import Kept, documents, partitions, prepare
 from tessera.llm._text import mix, pieces, shingle_sets
 
@@ -27,6 +30,8 @@ from tessera.llm._text import mix, pieces, shingle_sets
 COUNTERS, CHUNK = 1 << 21, 1 << 14
 #: A set of which more than one in so many rows is a copy is announced to all tasks (so at most this many are).
 HOT_SHARE = 4096
+#: Sets of one token that are compared with each other in memory.
+GROUP = 2000
 
 
 def set_id(elements: np.ndarray) -> int:
@@ -34,12 +39,43 @@ def set_id(elements: np.ndarray) -> int:
     return int((mix(elements).sum(dtype=np.uint64) + np.uint64(len(elements))).astype(np.uint64).view(np.int64))
 
 
+def parts(elements: np.ndarray) -> bytes:
+    """How many elements fall in each of 2**j equal parts of the hash range (255: that many or more)."""
+    j = max(4, (len(elements) // 32).bit_length())
+    return np.minimum(np.bincount((elements >> np.uint64(64 - j)).astype(np.int64), minlength=1 << j), 255).astype(np.uint8).tobytes()
+
+
+def _fold(part: np.ndarray, n: int) -> np.ndarray:
+    return part.reshape(n, -1).sum(axis=1)
+
+
+def can_link(ns: np.ndarray, vectors: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs whose part counts allow a similarity of num / den.
+
+    The parts' differences sum to |x - y| + |y - x| at most, which a link bounds by
+    (den - num) / (den + num) * (|x| + |y|). ``ns`` ascend.
+    """
+    forest = Forest(len(ns))
+    folded: dict[int, np.ndarray] = {}
+    for i in range(len(ns)):
+        to = int(np.searchsorted(ns, ns[i] * den // num, side="right"))
+        if to <= i + 1:
+            continue
+        width = len(vectors[i])
+        if width not in folded:
+            folded[width] = np.stack([_fold(v, width) if len(v) >= width else np.zeros(width, np.int64) for v in vectors])
+        far = np.abs(folded[width][i + 1 : to] - folded[width][i]).sum(axis=1)
+        for j in np.flatnonzero(far * (den + num) <= (den - num) * (ns[i + 1 : to] + ns[i])):
+            if forest.join(i, i + 1 + int(j)):
+                yield i, i + 1 + int(j)
+
+
 def _slots(elements: np.ndarray) -> np.ndarray:
     return (mix(elements) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
 def _scan(k: int):
-    """Per row (kind 0): id, set, size; per task (kind 1): its part of the sketch."""
+    """Per row (kind 0): id, set, size, part counts; per task (kind 1): its part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.uint32)
@@ -50,13 +86,14 @@ def _scan(k: int):
 
         for whole in batches:
             for batch in pieces(whole):
-                sids, ns, seen = [], [], []
+                sids, ns, seen, vectors = [], [], [], []
                 for s in shingle_sets(batch.column("text"), k):
                     sids.append(set_id(s))
                     ns.append(len(s))
                     seen.append(s)
+                    vectors.append(parts(s))
                 counts += np.bincount(_slots(np.concatenate(seen)), minlength=COUNTERS).astype(np.uint32)
-                yield out(0, batch.column("doc_id"), sids, ns, [None] * len(sids))
+                yield out(0, batch.column("doc_id"), sids, ns, vectors)
         chunks = [i for i in range(COUNTERS // CHUNK) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
         yield out(1, [None] * len(chunks), chunks, [0] * len(chunks), [counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in chunks])
 
@@ -94,23 +131,63 @@ def _prefixes(k: int, num: int, den: int, sketch, hot):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, sid): links each set of a token to the token's first set."""
-    token, hub = None, 0
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (token, sid): those whose token another set has too, without repeats."""
+    last = None  # the row held back, and whether the one before has its token
     for batch in batches:
         t, s = (np.asarray(batch.column(c)) for c in ("token", "sid"))
         if not len(t):
             continue
-        first = np.ones(len(t), dtype=bool)
-        first[1:] = t[1:] != t[:-1]
-        first[0] = t[0] != token
-        hubs = s[np.maximum.accumulate(np.where(first, np.arange(len(t)), -1))]
-        run = np.cumsum(first)
-        hubs = np.where(run == 0, hub, hubs)
-        token, hub = t[-1], hubs[-1]
-        far = s != hubs
-        pairs = np.unique(np.stack([s[far], hubs[far]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        was = False
+        if last:
+            t, s, was = np.append(last[0], t), np.append(last[1], s), last[2]
+        new = np.ones(len(t), dtype=bool)
+        new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+        t, s = t[new], s[new]
+        before = np.zeros(len(t), dtype=bool)
+        before[1:] = t[1:] == t[:-1]
+        before[0] = was
+        keep = before[:-1] | before[1:]
+        last = (t[-1], s[-1], before[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(t[:-1][keep]), pa.array(s[:-1][keep])], ["token", "sid"])
+    if last and last[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]])], ["token", "sid"])
+
+
+def _near(num: int, den: int):
+    """From rows sorted by (token, n, sid): forest links of the sets of a token that can link.
+
+    A token of more than GROUP sets links all neighbours in size, which is sound as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, ns, sids, vectors, out = None, [], [], [], set()
+
+        def close():
+            for i, j in can_link(np.array(ns, dtype=np.int64), vectors, num, den):
+                out.add((sids[j], sids[i]))
+            for x in (ns, sids, vectors):
+                x.clear()
+
+        for batch in batches:
+            for t, n, sid, v in zip(*(batch.column(c).to_pylist() for c in ("token", "n", "sid", "part"))):
+                if t != token:
+                    close()
+                    token, loose = t, False
+                loose = loose or len(ns) >= GROUP
+                if loose and ns and den * ns[-1] >= num * n:
+                    out.add((sid, sids[-1]))
+                if loose and len(ns) > 1:
+                    close()
+                ns.append(n)
+                sids.append(sid)
+                vectors.append(np.frombuffer(v, dtype=np.uint8).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["u", "v"])
+            out.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["u", "v"])
+
+    return run
 
 
 def _elements(k: int):
@@ -141,23 +218,26 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, blo
     kept, inner = Kept(spark), Kept(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = inner.table(docs.mapInArrow(_scan(k), "kind int, doc_id long, sid long, n long, part binary"), "scan")
-    rows = kept.table(scan.where("kind = 0").select("doc_id", "sid", "n"), "rows")
+    rows = kept.table(scan.where("kind = 0").select("doc_id", "sid", "n", "part"), "rows")
     parts = scan.where("kind = 1").select("sid", "part").repartition(min(partitions(spark), COUNTERS // CHUNK), "sid").mapInArrow(_add_parts, "sid long, part binary")
     sketch = np.zeros(COUNTERS, dtype=np.uint32)
     for i, part in parts.collect():  # at most COUNTERS / CHUNK rows
         sketch[i * CHUNK : (i + 1) * CHUNK] = np.frombuffer(part, dtype=np.uint32)
     inner.drop()
     usable = rows.where("doc_id is not null and n > 0")
-    sizes = kept.table(usable.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")), "sets")
+    sizes = kept.table(usable.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("part").alias("part")), "sets")
     total = rows.count()
     hot = {r.sid: r.doc_id for r in sizes.where(F.col("copies") > max(16, total // HOT_SHARE)).collect()}  # at most HOT_SHARE rows
     sc = spark.sparkContext
     tokens = docs.mapInArrow(_prefixes(k, num, den, sc.broadcast(sketch.tobytes()), sc.broadcast(hot)), "token long, sid long")
-    stars = tokens.repartition(partitions(spark), "token").sortWithinPartitions("token", "sid").mapInArrow(_stars, "u long, v long")
-    groups = components(stars, inner)
-    members = kept.table(sizes.join(groups.select(F.col("node").alias("sid"), F.col("root").alias("grp")), "sid"), "members")
+    n_parts = partitions(spark)
+    shared = tokens.repartition(n_parts, "token").sortWithinPartitions("token", "sid").mapInArrow(_shared, "token long, sid long")
+    shared = inner.table(shared, "shared").join(sizes.select("sid", "n", "part"), "sid")
+    near = shared.repartition(n_parts, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(_near(num, den), "u long, v long")
+    groups = components(near, inner)
+    members = kept.table(sizes.join(groups.select(F.col("node").alias("sid"), F.col("root").alias("grp")), "sid").drop("part"), "members")
     inner.drop()
-    sets = docs.join(members.select("doc_id", "sid"), "doc_id").select("sid", "text").mapInArrow(_elements(k), "sid long, elements binary").dropDuplicates(["sid"])
+    sets = docs.join(members.select("doc_id", "sid"), "doc_id").select("sid", "text").mapInArrow(_elements(k), "sid long, elements binary")
     found = kept.table(_overlap.links(sets, members.select("sid", "grp", "n", "copies"), num, den, block), "found")
     roots = kept.table(components(found.where("w = 0").select(F.col("a").alias("u"), F.col("b").alias("v")), inner), "roots")
     inner.drop()
@@ -165,7 +245,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, blo
     named = sizes.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").join(reach, "sid", "left").select("sid", "component_id", (F.coalesce("reach", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = rows.join(named, "sid", "left")
+    linked = rows.drop("part").join(named, "sid", "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return linked.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ngram_jaccard
+from tessera.llm import ngram_jaccard, packing, sorted_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op6_sorted_tables": sorted_tables.op6_sorted_tables,
     "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
 }
 
