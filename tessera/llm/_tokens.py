@@ -10,7 +10,7 @@ import re
 import numpy as np
 
 #: Segments whose ids a worker keeps: at most twice as many (a young and an old generation).
-CACHE, LONGEST = 250_000, 48
+CACHE, LONGEST = 500_000, 48
 #: Characters that Python takes for white space and the tokenizer's pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _SEGMENTS = re.compile(r"\s*\S+|\s+")
@@ -52,20 +52,17 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of the segments; long ones are not kept."""
-        out = {}
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """Puts the segments' ids in the young generation; returns those to forget after use (long ones)."""
         new, apart = [], []
-        for s in wanted:
-            if (ids := self.young.get(s)) is not None:
-                out[s] = ids
-            elif (ids := self.old.get(s)) is not None:
-                out[s] = self.young[s] = ids
+        for s in wanted.difference(self.young):
+            if (ids := self.old.get(s)) is not None:
+                self.young[s] = ids
             else:
                 (new if s[0].isspace() and not s[-1].isspace() else apart).append(s)
         for i in range(0, len(new), 20_000):  # one long text: each begins with white space and the one before ends without
             part = new[i : i + 20_000]
-            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.width[ids])
             at = np.cumsum([len(s.encode()) for s in part])
             to = np.searchsorted(ends, at) + 1
@@ -74,16 +71,10 @@ class Encoder:
                 continue
             raw, start = ids.tobytes(), 0
             for s, end in zip(part, (4 * to).tolist()):
-                out[s] = raw[start:end]
+                self.young[s] = raw[start:end]
                 start = end
-        for s, ids in zip(apart, self._whole(apart)):
-            out[s] = ids
-        for s in (*new, *apart):
-            if len(s) <= LONGEST:
-                self.young[s] = out[s]
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        return out
+        self.young.update(zip(apart, self._whole(apart)))
+        return [s for s in (*new, *apart) if len(s) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -95,9 +86,14 @@ class Encoder:
             else:
                 cut.append(s := _SEGMENTS.findall(t))
                 wanted.update(s)
-        known = self._learn(wanted)
+        forget = self._learn(wanted)
         whole = iter(self._whole([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        ids = [next(whole) if c is None else b"".join(map(self.young.__getitem__, c)) for c in cut]
+        for s in forget:
+            del self.young[s]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        return ids
 
 
 @functools.lru_cache(maxsize=2)

@@ -74,7 +74,7 @@ class Writer:
         import zstandard
 
         self.out, self.block, self.at = out, block, 0
-        self.pack = zstandard.ZstdCompressor(level=3).compress
+        self.pack = zstandard.ZstdCompressor(level=1).compress
         self.body, self.restarts, self.last, self.in_block = bytearray(), [], b"", 0
         self.index, self.keys, self.tokens = bytearray(), [], 0
         self._write(MAGIC)
