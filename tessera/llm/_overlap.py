@@ -120,12 +120,17 @@ def _search_task(sids: list[int], sets: list[np.ndarray], copies: list[int], sid
     return out
 
 
-def _run_tasks(num: int, den: int):
+def stored(elements: list[bytes]) -> list[np.ndarray]:
+    """Sets that are stored as sorted distinct unsigned 64-bit elements."""
+    return [np.frombuffer(e, dtype=np.uint64) for e in elements]
+
+
+def _run_tasks(num: int, den: int, decode):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, ([], [], [], [])
 
         def flush():
-            a, b, w = _search_task(*held, num, den)
+            a, b, w = _search_task(held[0], decode(held[1]), *held[2:], num, den)
             for x in held:
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.int64())], ["a", "b", "w"])
@@ -139,7 +144,7 @@ def _run_tasks(num: int, den: int):
                     continue  # a repeated row
                 key = task
                 held[0].append(sid)
-                held[1].append(np.frombuffer(elements, dtype=np.uint64))
+                held[1].append(elements)
                 held[2].append(copies)
                 held[3].append(side)
         if held[0]:
@@ -148,15 +153,16 @@ def _run_tasks(num: int, den: int):
     return run
 
 
-def links(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def links(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BLOCK, decode=stored, sized: bool = True) -> DataFrame:
     """All links inside candidate groups, as forest links plus reach.
 
-    sets: (sid long, elements binary), sorted distinct uint64s; sizes: (sid, grp long, n long, copies long).
+    sets: (sid long, elements binary), made sets of by ``decode``; sizes: (sid, grp long, n long, copies long).
+    With ``sized``, n is a set's exact size, and sets too unlike in size are never compared.
     Returns (a, b, w): w = 0 for links (enough of them to keep everything connected that is
     linked), a = b and w > 0 for how many rows the links of ``a`` reach in one task.
     """
     band = math.log(den / num) * 1.000001
-    sizes = sizes.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / band))
+    sizes = sizes.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / band) if sized else F.lit(0).cast("long"))
     groups = sizes.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where("members > 1")
     cut = sizes.groupBy("grp", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("cuts"))
     small = sizes.join(groups.where(F.col("total") <= block), "grp").select("sid", "copies", F.lit(2).alias("side"), F.xxhash64("grp").alias("task"))
@@ -172,4 +178,4 @@ def links(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BL
     large = large.select("sid", "copies", F.explode(F.concat(own, up, down)).alias("s")).select("sid", "copies", "s.side", "s.task")
     tasks = small.union(large).join(sets, "sid")
     dealt = tasks.repartition(partitions(sets.sparkSession), "task").sortWithinPartitions("task", "side", "sid")
-    return dealt.select("task", "sid", "elements", "copies", "side").mapInArrow(_run_tasks(num, den), LINK_SCHEMA)
+    return dealt.select("task", "sid", "elements", "copies", "side").mapInArrow(_run_tasks(num, den, decode), LINK_SCHEMA)

@@ -125,9 +125,9 @@ def choose(units: DataFrame, kept: Kept, bucket: int = BUCKET) -> DataFrame:
         units, level = out.where("p > 0 and p < 1"), level + 1
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds rid, a 64-bit name of a row's doc_id, source and text."""
-    return docs.withColumn("rid", F.xxhash64("doc_id", "source", "text"))
+def keyed(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """Adds a 64-bit name of a row's doc_id, source and text."""
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
 
 
 def mix(docs: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
@@ -159,5 +159,5 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row as often as the mix takes it."""
-    times = mix(docs).where("copies > 0").select("rid", "copies").distinct()
-    return keyed(docs).join(times, "rid").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    times = mix(docs).where("copies > 0").select(F.col("rid").alias("__rid"), F.col("copies").alias("__copies")).distinct()
+    return keyed(docs, "__rid").join(times, "__rid").withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
