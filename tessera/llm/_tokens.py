@@ -10,12 +10,9 @@ import re
 import numpy as np
 
 #: Segments whose ids a worker keeps: at most twice as many (a young and an old generation).
-CACHE, LONGEST = 500_000, 48
+CACHE, LONGEST = 700_000, 48
 #: Characters that Python takes for white space and the tokenizer's pattern does not.
-_ODD = re.compile("[\x1c-\x1f]")
-_SEGMENTS = re.compile(r"\s*\S+|\s+")
-
-
+_ODD = "[\x1c-\x1f]"
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -41,59 +38,74 @@ class Encoder:
         spec = json.loads(self.library.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.cuts = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD, *special]))
         vocabulary = self.library.get_vocab()
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Segments by key: ``word`` for " word", a key with a line feed for itself, " word" for the first."""
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = " " + keys[0]
+        return keys
+
     def _learn(self, wanted: set[str]) -> list[str]:
-        """Puts the segments' ids in the young generation; returns those to forget after use (long ones)."""
+        """Puts the segments' ids in the young generation; returns the keys to forget after use (long ones).
+
+        None marks a segment before whose end no cut may be made: it ends in white space, or is odd or special.
+        """
         new, apart = [], []
-        for s in wanted.difference(self.young):
-            if (ids := self.old.get(s)) is not None:
-                self.young[s] = ids
+        for key in wanted.difference(self.young):
+            if key in self.old:
+                self.young[key] = self.old[key]
+                continue
+            s = key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
+            if (s and s[-1].isspace()) or self.odd.search(s):
+                self.young[key] = None
             else:
-                (new if s[0].isspace() and not s[-1].isspace() else apart).append(s)
+                (apart if key[:1] == " " else new).append((key, s))
         for i in range(0, len(new), 20_000):  # one long text: each begins with white space and the one before ends without
             part = new[i : i + 20_000]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.library.encode_batch_fast(["".join([s for _, s in part])], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.width[ids])
-            at = np.cumsum([len(s.encode()) for s in part])
+            at = np.cumsum([len(s) if s.isascii() else len(s.encode()) for _, s in part])
             to = np.searchsorted(ends, at) + 1
             if to[-1] != len(ids) or not np.array_equal(ends[to - 1], at):
                 apart += part
                 continue
             raw, start = ids.tobytes(), 0
-            for s, end in zip(part, (4 * to).tolist()):
-                self.young[s] = raw[start:end]
+            for (key, _), end in zip(part, (4 * to).tolist()):
+                self.young[key] = raw[start:end]
                 start = end
-        self.young.update(zip(apart, self._whole(apart)))
-        return [s for s in (*new, *apart) if len(s) > LONGEST]
+        self.young.update(zip([key for key, _ in apart], self._whole([s for _, s in apart])))
+        return [key for key, _ in (*new, *apart) if len(key) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut: list[list[str] | None] = []
-        wanted: set[str] = set()
-        for t in texts:
-            if not self.cuts or _ODD.search(t) or any(s in t for s in self.special):
-                cut.append(None)
-            else:
-                cut.append(s := _SEGMENTS.findall(t))
-                wanted.update(s)
-        forget = self._learn(wanted)
-        whole = iter(self._whole([t for t, c in zip(texts, cut) if c is None]))
-        ids = [next(whole) if c is None else b"".join(map(self.young.__getitem__, c)) for c in cut]
-        for s in forget:
-            del self.young[s]
+        if not self.cuts:
+            return self._whole(texts)
+        cut = [self._cut(t) for t in texts]
+        forget = self._learn(set().union(*cut))
+        out: list[bytes | None] = []
+        for keys in cut:
+            try:
+                out.append(b"".join(map(self.young.__getitem__, keys)))
+            except TypeError:  # a None among them
+                out.append(None)
+        whole = iter(self._whole([t for t, ids in zip(texts, out) if ids is None]))
+        for key in forget:
+            del self.young[key]
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
-        return ids
+        return [next(whole) if ids is None else ids for ids in out]
 
 
 @functools.lru_cache(maxsize=2)

@@ -197,7 +197,7 @@ class Repeats:
     def stretches(self) -> DataFrame:
         """(tid, n, low, high): stretches whose windows are all repeated; together they cover all that is."""
         anchors = self.rounds.table(self.texts().mapInArrow(_anchors(self.length, self.gram), "tid long, n long, a long, o1 int, o2 int, rank long"), "anchors")
-        twice = anchors.groupBy("rank").count().where("count > 1").select("rank")
+        twice = self.rounds.table(anchors.groupBy("rank").count().where("count > 1").select("rank"), "twice")  # a table, so that a join may split its hot ranks
         copied = self.classes.select("tid", "n", (F.col("copies") > 1).alias("partner"))
         live = anchors.join(twice, "rank", "left_semi").join(copied, ["tid", "n"]).select("tid", "n", "a", "o1", "o2", "partner")
         live = self.rounds.table(live, "runs")
@@ -207,9 +207,9 @@ class Repeats:
             ranked = self._with_texts(per_text).select("tid", "n", "text", "runs").mapInArrow(_ranks(self.length, width), "tid long, n long, a long, o1 int, o2 int, partner boolean, inner long, outer long")
             ranked = self.rounds.table(ranked, "ranked")
             if width:  # nothing repeated where what all windows share is unique
-                twice = ranked.groupBy("inner").count().where("count > 1").select("inner")
+                twice = self.rounds.table(ranked.groupBy("inner").count().where("count > 1").select("inner"), "twice")
                 ranked = ranked.join(twice, "inner", "left_semi") if width > 1 else ranked
-            outer = ranked.groupBy("outer").agg(F.count("*").alias("members"), F.min(F.struct("tid", "n", "a")).alias("first"))
+            outer = self.rounds.table(ranked.groupBy("outer").agg(F.count("*").alias("members"), F.min(F.struct("tid", "n", "a")).alias("first")), "outer")
             named = ranked.join(outer, "outer")
             repeated = F.col("members") > 1
             done.append(self.kept.table(named.where(repeated & ~F.col("partner")).select("tid", "n", (F.col("a") - F.col("o2")).alias("low"), (F.col("a") - F.col("o1") + self.length).alias("high")), "stretches"))
