@@ -1,27 +1,981 @@
-"""All queries over the operators, with the SQL each is checked against."""
+"""All queries over the operators, with the SQL each is checked against.
+
+Trained models are pinned (first rows in an order any engine can compute), so that their results have
+an SQL form too. Distances are rounded to six decimals where sums may differ in the last bits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import knn
+from tessera.functions import distances
+from tessera.operators import binary, evaluation, graphs, ivf, knn, models, quantizers, series, transforms
+from tessera.plans import factory
+from tessera.sources import vectors as vector_files
+from tessera.streaming import detector
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+NLIST, NPROBE, M, CODES = 16, 4, 8, 16
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return knn.exact_knn(v.where("id < 10"), v, 5, exclude_self=True)
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"j01_exact_knn_l2": entry}
+    return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _SQL
+
+
+# Inputs.
+
+
+def vectors(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), *more)
+
+
+def few(v: DataFrame, n: int = 10) -> DataFrame:
+    return v.where(F.col("id") < n)
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one user group as series: position in time order, value, label of errors."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 20 = 0")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(F.col("user_id").cast("string").alias("series_id"), (F.row_number().over(w) - 1).cast("long").alias("t"), "value", (F.col("event_type") == "error").cast("int").alias("label"))
+
+
+def one_series(spark: SparkSession, sf_dir: str, n: int = 600) -> DataFrame:
+    """The first n events as one series; a limit by event_id, so no task orders the whole table."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") < n)
+    return e.select(F.lit("s").alias("series_id"), F.col("event_id").alias("t"), "value", (F.col("event_type") == "error").cast("int").alias("label"))
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols or ("dis",)})
+
+
+def codes32(v: DataFrame) -> DataFrame:
+    """(id, code): sign bits in 32-bit words."""
+    return v.select("id", binary.pack(binary.bits_of(F.col("vec")), 64).alias("code"))
+
+
+# SQL pieces.
+
+V = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS vec, label FROM embeddings)"
+
+
+def s_fold(a: str, b: str, term: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: {term}))"
+
+
+def s_l2(a: str, b: str) -> str:
+    return s_fold(a, b, "(p[1] - p[2]) * (p[1] - p[2])")
+
+
+def s_ip(a: str, b: str) -> str:
+    return s_fold(a, b, "p[1] * p[2]")
+
+
+S_METRICS = {
+    "l2": s_l2("q.vec", "x.vec"), "ip": s_ip("q.vec", "x.vec"), "l1": s_fold("q.vec", "x.vec", "abs(p[1] - p[2])"),
+    "linf": "list_max(list_transform(list_zip(q.vec, x.vec), lambda p: abs(p[1] - p[2])))", "lp3": s_fold("q.vec", "x.vec", "pow(abs(p[1] - p[2]), 3.0)"),
+    "canberra": s_fold("q.vec", "x.vec", "abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2]))"),
+    "braycurtis": s_fold("q.vec", "x.vec", "abs(p[1] - p[2])") + " / " + s_fold("q.vec", "x.vec", "abs(p[1] + p[2])"),
+    "jensenshannon": "0.5 * " + s_fold("q.vec", "x.vec", "-p[1] * ln(((p[1] + p[2]) / 2) / p[1]) - p[2] * ln(((p[1] + p[2]) / 2) / p[2])"),
+    "jaccard": s_fold("q.vec", "x.vec", "least(p[1], p[2])") + " / " + s_fold("q.vec", "x.vec", "greatest(p[1], p[2])"),
+}
+POSITIVE = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda e: abs(CAST(e AS DOUBLE)) + 0.001) AS vec FROM embeddings)"
+
+
+def s_top(pairs: str, k: int = 5, desc: bool = False, dis: str = "round(dis, 6)", keep: str = "") -> str:
+    order = "dis DESC, id" if desc else "dis, id"
+    return f"SELECT qid, CAST(rank AS INTEGER) AS rank, id, {dis} AS dis{keep} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS rank FROM ({pairs})) WHERE rank <= {k}"
+
+
+def s_pinned(n: int, seed: int = 1) -> str:
+    return f"c AS (SELECT CAST(row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':{seed}'), id) - 1 AS INTEGER) AS list_no, vec FROM v QUALIFY list_no < {n})"
+
+
+A = f"""{V}, {s_pinned(NLIST)}, a AS (SELECT id, vec, list_no, dis, row_number() OVER (PARTITION BY id ORDER BY dis, list_no) AS rank
+ FROM (SELECT x.id, x.vec, q.list_no, {s_l2("q.vec", "x.vec")} AS dis FROM c q, v x))"""
+L = f"{A}, l AS (SELECT list_no, id, vec, dis AS o2c FROM a WHERE rank = 1), pr AS (SELECT id AS qid, vec AS qvec, rank AS probe, list_no, dis AS q2c FROM a WHERE id < 10 AND rank <= {NPROBE})"
+S_CAND = "SELECT q.qid, x.id, " + s_l2("q.qvec", "x.vec") + " AS dis FROM pr q JOIN l x ON q.list_no = x.list_no"
+CB = f"""{V}, k0 AS (SELECT CAST(row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':1'), id) - 1 AS INTEGER) AS code, vec FROM v QUALIFY code < {CODES}),
+m AS (SELECT unnest(range({M})) AS m), cb AS (SELECT m, code, list_slice(vec, m * {64 // M} + 1, (m + 1) * {64 // M}) AS sub FROM k0, m),
+sv AS (SELECT id, m, list_slice(vec, m * {64 // M} + 1, (m + 1) * {64 // M}) AS sub FROM v, m),
+t AS (SELECT q.id, q.m, x.code, {s_l2("q.sub", "x.sub")} AS dis FROM sv q JOIN cb x ON q.m = x.m),
+e AS (SELECT id, m, code FROM t QUALIFY row_number() OVER (PARTITION BY id, m ORDER BY dis, code) = 1)"""
+
+
+def pinned(v: DataFrame) -> np.ndarray:
+    return models.pinned_centroids(v, NLIST)
+
+
+def book(v: DataFrame) -> np.ndarray:
+    return quantizers.pinned_codebook(v, M, CODES)
+
+
+# Flagship.
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return knn.exact_knn(few(v), v, 5, exclude_self=True)
+
+
+@query("j01_exact_knn_self_excluded", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10 AND q.id <> x.id"))
+def _(spark, sf):
+    return rounded(entry(spark, sf))
+
+
+def _metric_query(name: str) -> None:
+    positive = name in ("canberra", "braycurtis", "jensenshannon", "jaccard")
+    desc = name in ("ip", "jaccard")
+    base = POSITIVE if positive else V
+
+    @query(f"j05_knn_{name}", f"WITH {base} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS[name]} AS dis FROM v q, v x WHERE q.id < 10", desc=desc))
+    def _(spark, sf):
+        v = vectors(spark, sf)
+        if positive:
+            v = v.select("id", F.transform("vec", lambda x: F.abs(x.cast("double")) + 0.001).alias("vec"))
+        return rounded(knn.exact_knn(few(v), v, 5, "lp" if name == "lp3" else name, 3.0))
+
+
+for _name in S_METRICS:
+    _metric_query(_name)
+
+
+@query("j05_knn_nan_euclidean", f"""WITH {V}, n AS (SELECT id, list_transform(vec, lambda x: CASE WHEN x > 0.2 THEN NULL ELSE x END) AS vec FROM v)
+{s_top('SELECT q.id AS qid, x.id, 64.0 / ' + s_fold('q.vec', 'x.vec', 'CASE WHEN p[1] IS NULL OR p[2] IS NULL THEN 0.0 ELSE 1.0 END') + ' * ' + s_fold('q.vec', 'x.vec', 'CASE WHEN p[1] IS NULL OR p[2] IS NULL THEN 0.0 ELSE (p[1] - p[2]) * (p[1] - p[2]) END') + ' AS dis FROM n q, n x WHERE q.id < 10')}""")
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", F.transform("vec", lambda x: F.when(x.cast("double") > 0.2, float("nan")).otherwise(x.cast("double"))).alias("vec"))
+    return rounded(knn.exact_knn(few(v), v, 5, "nan_euclidean"))
+
+
+@query("j02_flat_l2_by_norms", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {s_ip('q.vec', 'q.vec')} + {s_ip('x.vec', 'x.vec')} - 2 * {s_ip('q.vec', 'x.vec')} AS dis FROM v q, v x WHERE q.id < 10 AND q.id <> x.id"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    q = F.broadcast(few(v).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), distances.norm2(F.col("vec")).alias("q2")))
+    p = v.withColumn("x2", distances.norm2(F.col("vec"))).crossJoin(q).where("id <> qid")
+    return rounded(knn.top_k(p.select("qid", "id", (F.col("q2") + F.col("x2") - 2 * distances.ip(F.col("qvec"), F.col("vec"))).alias("dis")), 5).select("qid", "rank", "id", "dis"))
+
+
+@query("j03_knn_one_dimension", """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS x FROM orders), p AS (SELECT q.id AS qid, o.id, abs(q.x - o.x) AS dis FROM o q, o WHERE q.id < 20 AND q.id <> o.id)
+SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(dis, 6) AS dis FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dis, id) AS rank FROM p) WHERE rank <= 3""")
+def _(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.array("o_totalprice").alias("vec"))
+    return rounded(knn.exact_knn(o.where("id < 20"), o, 3, "l1", exclude_self=True))
+
+
+@query("j04_knn_matrix_blocks", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id % 5 = 0", dis="round(dis, 4)"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(knn.blocked_knn(v.where("id % 5 = 0"), v, 5, block=64, shards=4), digits=4)
+
+
+@query("j06_knn_of_candidate_lists", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q JOIN v x ON x.label = q.label WHERE q.id < 10"))
+def _(spark, sf):
+    v = vectors(spark, sf, "label")
+    c = few(v).select(F.col("id").alias("qid"), "label").join(v.select("id", "label"), "label").select("qid", "id")
+    return rounded(knn.refine(c, v, v, 5))
+
+
+@query("j07_ivf_search", f"WITH {L} " + s_top(S_CAND))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    return rounded(ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE))
+
+
+@query("j08_ivf_code_budget", f"""WITH {L}, n AS (SELECT list_no, count(*) AS n FROM l GROUP BY list_no),
+b AS (SELECT p.*, coalesce(sum(n.n) OVER (PARTITION BY qid ORDER BY probe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM pr p JOIN n ON p.list_no = n.list_no)
+{s_top(S_CAND.replace('FROM pr q', 'FROM (SELECT * FROM b WHERE seen < 60) q'))}""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    return rounded(ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE, max_codes=60))
+
+
+@query("j08_ivf_selector", f"WITH {L} " + s_top(S_CAND + " WHERE x.id % 3 = 1"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    return rounded(ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE, selector=F.col("id") % 3 == 1))
+
+
+@query("j09_ivf_all_lists_is_exact", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    return rounded(ivf.search(few(v), ivf.build(v, c), c, 5, NLIST))
+
+
+@query("j10_ivf_duplicates", f"WITH {L}, d AS (SELECT list_no, id, vec FROM l UNION ALL SELECT list_no, id + 10000, vec FROM l WHERE id % 7 = 0) " + s_top(S_CAND.replace("JOIN l x", "JOIN d x")))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    lists = ivf.build(v, c)
+    lists = lists.unionByName(lists.where("id % 7 = 0").withColumn("id", F.col("id") + 10000))
+    one, members = ivf.deduplicated(lists)
+    return rounded(ivf.expand(ivf.search(few(v), one, c, 5, NPROBE), members, 5))
+
+
+@query("j11_ivf_pq", f"""WITH {L}, {CB[len(V) + 2:]},
+d AS (SELECT p.qid, l.id, e.m, t.dis FROM pr p JOIN l ON p.list_no = l.list_no JOIN e ON e.id = l.id JOIN t ON t.id = p.qid AND t.m = e.m AND t.code = e.code)
+{s_top('SELECT qid, id, sum(dis) AS dis FROM d GROUP BY qid, id', dis='round(dis, 4)')}""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c, b = pinned(v), book(v)
+    lists = quantizers.encode_pq(ivf.build(v, c), b, "list_no")
+    p = ivf.probes(few(v), c, NPROBE).drop("qvec").join(lists.select("list_no", "id", "code"), "list_no").join(quantizers.tables(few(v), b), "qid")
+    return rounded(knn.top_k(p.select("qid", "id", quantizers.adc(F.col("lut"), F.col("code")).alias("dis")), 5).select("qid", "rank", "id", "dis"), digits=4)
+
+
+S_ADC = f"WITH {CB}, p AS (SELECT t.id AS qid, e.id, sum(t.dis) AS dis FROM t JOIN e ON t.m = e.m AND t.code = e.code WHERE t.id < 10 GROUP BY 1, 2) "
+
+
+@query("j17_pq_asymmetric", S_ADC + s_top("SELECT * FROM p", dis="round(dis, 4)"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    b = book(v)
+    return rounded(quantizers.search_pq(few(v), quantizers.encode_pq(v, b), b, 5), digits=4)
+
+
+@query("q07_pq_symmetric", f"""WITH {CB}, s AS (SELECT q.m, q.code AS a, x.code AS b, {s_l2('q.sub', 'x.sub')} AS dis FROM cb q JOIN cb x ON q.m = x.m),
+p AS (SELECT q.id AS qid, e.id, sum(s.dis) AS dis FROM e q JOIN e ON q.m = e.m JOIN s ON s.m = e.m AND s.a = q.code AND s.b = e.code WHERE q.id < 10 GROUP BY 1, 2)
+SELECT qid, CAST(sum(dis) * 0 AS INTEGER) AS zero, count(*) AS n, round(min(dis), 4) AS least, round(avg(dis), 4) AS mean FROM p GROUP BY qid""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    b = book(v)
+    all_ = quantizers.search_sdc(few(v), quantizers.encode_pq(v, b), b, 1 << 30)
+    return all_.groupBy("qid").agg(F.lit(0).alias("zero"), F.count("*").alias("n"), F.round(F.min("dis"), 4).alias("least"), F.round(F.avg("dis"), 4).alias("mean"))
+
+
+@query("q10_polysemous_filter")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    b = book(v)
+    return rounded(quantizers.search_pq(few(v), quantizers.encode_pq(v, b), b, 5, most_bits=14), digits=4)
+
+
+@query("q03_pq_encode", f"WITH {CB} SELECT id, list(code ORDER BY m) AS code FROM e GROUP BY id")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return quantizers.encode_pq(v, book(v)).select("id", "code")
+
+
+@query("q04_pq_decode_error", f"WITH {CB}, d AS (SELECT sv.id, sum({s_l2('sv.sub', 'cb.sub')}) AS err FROM sv JOIN e ON sv.id = e.id AND sv.m = e.m JOIN cb ON cb.m = e.m AND cb.code = e.code GROUP BY sv.id) SELECT id, round(err, 6) AS err FROM d")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    b = book(v)
+    return quantizers.encode_pq(v, b).select("id", F.round(distances.l2(F.col("vec"), quantizers.decode_pq(F.col("code"), b)), 6).alias("err"))
+
+
+@query("q05_distance_tables", f"WITH {CB} SELECT id AS qid, m, code, round(dis, 6) AS dis FROM t WHERE id < 10")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    t = quantizers.tables(few(v), book(v)).select("qid", F.posexplode("lut").alias("m", "row"))
+    return t.select("qid", F.col("m").cast("long").alias("m"), F.posexplode("row").alias("code", "dis")).select("qid", "m", "code", F.round("dis", 6).alias("dis"))
+
+
+@query("q17_rounded_tables")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return quantizers.rounded_tables(quantizers.tables(few(v), book(v)))
+
+
+def _sq_query(name: str, bits: int, kind: str, arg: float, s_lo: str, s_hi: str) -> None:
+    top = (1 << bits) - 1
+
+    @query(name, f"""WITH {V}, u AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v), r AS (SELECT pos, {s_lo} AS lo, {s_hi} - {s_lo} AS w FROM u GROUP BY pos)
+SELECT id, CAST(u.pos - 1 AS INTEGER) AS pos, CAST(floor({top}.0 * greatest(0.0, least(1.0, CASE WHEN w = 0 THEN 0.0 ELSE (x - lo) / w END))) AS INTEGER) AS code FROM u JOIN r ON u.pos = r.pos""")
+    def _(spark, sf):
+        v = vectors(spark, sf)
+        lo, width = quantizers.as_arrays(quantizers.ranges(v, kind, arg))
+        return v.select("id", F.posexplode(quantizers.encode_sq(F.col("vec"), lo, width, bits)).alias("pos", "code"))
+
+
+for _bits in (8, 6, 4):
+    _sq_query(f"q11_scalar_minmax_{_bits}bit", _bits, "minmax", 0.0, "min(x)", "max(x)")
+_sq_query("q11_scalar_quantiles_8bit", 8, "quantiles", 0.05, "quantile_cont(x, 0.05)", "quantile_cont(x, 0.95)")
+
+
+@query("q11_scalar_half", None)
+def _(spark, sf):
+    return vectors(spark, sf).select("id", quantizers.half_precision("vec").alias("vec"))
+
+
+@query("j20_scalar_quantized_search", f"""WITH {V}, u AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v), r AS (SELECT pos, min(x) AS lo, max(x) - min(x) AS w FROM u GROUP BY pos),
+y AS (SELECT id, list(lo + w * ((floor(255.0 * greatest(0.0, least(1.0, (x - lo) / w))) + 0.5) / 255.0) ORDER BY u.pos) AS vec FROM u JOIN r ON u.pos = r.pos GROUP BY id)
+{s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, y x WHERE q.id < 10", dis='round(dis, 5)')}""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    lo, width = quantizers.as_arrays(quantizers.ranges(v))
+    y = v.select("id", quantizers.decode_sq(quantizers.encode_sq(F.col("vec"), lo, width), lo, width).alias("vec"))
+    return rounded(knn.exact_knn(few(v), y, 5), digits=5)
+
+
+def _sample_matrix(v: DataFrame, n: int = 256) -> np.ndarray:
+    return models.pinned_centroids(v, n)
+
+
+@query("j21_residual_quantizer_search")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    b = quantizers.train_rq(_sample_matrix(v), 4, 16)
+    return rounded(quantizers.search_additive(few(v), quantizers.encode_additive(v, b), b, 5), digits=4)
+
+
+@query("j21_local_search_quantizer_search")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    b = quantizers.train_lsq(_sample_matrix(v), 4, 16)
+    return rounded(quantizers.search_additive(few(v), quantizers.encode_additive(v, b, local=True), b, 5), digits=4)
+
+
+@query("q16_sphere_lattice")
+def _(spark, sf):
+    s = quantizers.Sphere(4, 6)
+    x = models.matrix(few(vectors(spark, sf), 50).toPandas().vec)[:, :4]
+    code = s.encode(x)
+    return spark.createDataFrame([(int(i), int(c), [int(p) for p in s.decode(np.array([c]))[0]]) for i, c in enumerate(code)], "id long, code long, point array<long>")
+
+
+# Binary.
+
+BIN = f"{V}, b AS (SELECT id, list_transform(vec, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS bits FROM v)"
+S_HAM = s_fold("q.bits", "x.bits", "CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END")
+
+
+@query("j37_binary_knn", f"WITH {BIN} " + s_top(f"SELECT q.id AS qid, x.id, {S_HAM} AS dis FROM b q, b x WHERE q.id < 10", dis="CAST(dis AS INTEGER)"))
+def _(spark, sf):
+    c = codes32(vectors(spark, sf))
+    return binary.search(few(c), c, 5)
+
+
+@query("r05_binary_range", f"WITH {BIN} SELECT q.id AS qid, x.id, CAST({S_HAM} AS INTEGER) AS dis FROM b q, b x WHERE q.id < 10 AND {S_HAM} < 24")
+def _(spark, sf):
+    c = codes32(vectors(spark, sf))
+    return binary.pairs(few(c), c).where("dis < 24").withColumn("dis", F.col("dis").cast("int"))
+
+
+@query("r06_hamming_threshold_counts", f"WITH {BIN} SELECT q.id AS qid, count(*) AS n FROM b q, b x WHERE q.id < 10 AND {S_HAM} <= 26 GROUP BY q.id")
+def _(spark, sf):
+    c = codes32(vectors(spark, sf))
+    return binary.pairs(few(c), c).where("dis <= 26").groupBy("qid").agg(F.count("*").alias("n"))
+
+
+@query("f09_binarise", f"WITH {BIN} SELECT id, bits FROM b")
+def _(spark, sf):
+    c = codes32(vectors(spark, sf))
+    return c.select("id", binary.unpack(F.col("code"), 64).alias("bits"))
+
+
+@query("f10_differing_bytes", f"""WITH {BIN}, y AS (SELECT id, list_transform(range(8), lambda k: list_slice(bits, k * 8 + 1, k * 8 + 8)) AS b8 FROM b)
+SELECT q.id AS qid, x.id, CAST({s_fold('q.b8', 'x.b8', 'CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END')} AS INTEGER) AS dis FROM y q, y x WHERE q.id < 5""")
+def _(spark, sf):
+    c = codes32(vectors(spark, sf))
+    return binary.pairs(few(c, 5), c, binary.differing_bytes).withColumn("dis", F.col("dis").cast("int"))
+
+
+@query("j23_lsh_medians", f"""WITH {V}, u AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v), t AS (SELECT pos, median(x) AS m FROM u WHERE pos <= 32 GROUP BY pos),
+b AS (SELECT id, list(CASE WHEN x >= m THEN 1 ELSE 0 END ORDER BY u.pos) AS bits FROM u JOIN t ON u.pos = t.pos GROUP BY id)
+{s_top(f'SELECT q.id AS qid, x.id, {S_HAM} AS dis FROM b q, b x WHERE q.id < 10', dis='CAST(dis AS INTEGER)')}""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    t = binary.lsh_thresholds(v, 32)
+    c = v.select("id", binary.pack(binary.bits_of(F.slice("vec", 1, 32), t), 32).alias("code"))
+    return binary.search(few(c), c, 5)
+
+
+@query("j14_spectral_bits", f"WITH {V} SELECT id, list_transform(vec, lambda x: CAST(((CAST(floor(x * 2.0 / 0.1) AS BIGINT) % 2) + 2) % 2 AS INTEGER)) AS bits FROM v")
+def _(spark, sf):
+    return vectors(spark, sf).select("id", binary.spectral_bits(F.col("vec"), 0.1).alias("bits"))
+
+
+def _hash_query(name: str, b: int, nflip: int, n_hash: int) -> None:
+    same = lambda t: f"list_sum(list_transform(list_zip(list_slice(q.bits, {t * b + 1}, {t * b + b}), list_slice(x.bits, {t * b + 1}, {t * b + b})), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) <= {nflip}"
+
+    @query(name, f"WITH {BIN} " + s_top(f"SELECT q.id AS qid, x.id, {S_HAM} AS dis FROM b q, b x WHERE q.id < 10 AND ({' OR '.join(same(t) for t in range(n_hash))})", dis="CAST(dis AS INTEGER)"))
+    def _(spark, sf):
+        c = codes32(vectors(spark, sf))
+        return binary.hash_search(few(c), c, 5, b, nflip, n_hash)
+
+
+_hash_query("j40_binary_hash", 8, 1, 1)
+_hash_query("j41_binary_multi_hash", 6, 1, 3)
+
+
+@query("j42_binary_from_float", f"WITH {BIN} " + s_top(f"SELECT q.id AS qid, x.id, 4.0 * {S_HAM} / 4 AS dis FROM b q, b x WHERE q.id < 10"))
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", binary.to_signs(binary.bits_of(F.col("vec"))).alias("vec"))
+    return knn.exact_knn(few(v), v, 5).withColumn("dis", F.round(F.col("dis") / 4, 6))
+
+
+@query("j38_binary_ivf")
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", binary.to_signs(binary.bits_of(F.col("vec"))).alias("vec"))
+    c = pinned(v)
+    return ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE).withColumn("dis", (F.col("dis") / 4).cast("int"))
+
+
+# Other searches.
+
+
+@query("j30_refine", f"{S_ADC}, f AS ({s_top('SELECT * FROM p', 20)}) " + s_top(f"SELECT f.qid, f.id, {S_METRICS['l2']} AS dis FROM f JOIN v q ON q.id = f.qid JOIN v x ON x.id = f.id"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    b = book(v)
+    return rounded(knn.refine(quantizers.search_pq(few(v), quantizers.encode_pq(v, b), b, 20), v, v, 5))
+
+
+@query("j31_pretransform_normalised", f"WITH {V}, n AS (SELECT id, list_transform(vec, lambda x: x / sqrt({s_ip('vec', 'vec')})) AS vec FROM v) " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM n q, n x WHERE q.id < 10"))
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", transforms.l2_normalise(F.col("vec")).alias("vec"))
+    return rounded(knn.exact_knn(few(v), v, 5))
+
+
+@query("j34_minmax_rows", f"WITH {V} SELECT id, list_transform(vec, lambda x: round((x - list_min(vec)) / (list_max(vec) - list_min(vec)), 9)) AS vec FROM v")
+def _(spark, sf):
+    return vectors(spark, sf).select("id", F.transform(transforms.minmax_rows(F.col("vec").cast("array<double>")), lambda x: F.round(x, 9)).alias("vec"))
+
+
+@query("j35_vertical_split", "WITH " + V + ", " + ", ".join(f"p{i} AS (SELECT q.id AS qid, x.id, row_number() OVER (PARTITION BY q.id ORDER BY {s_l2(f'list_slice(q.vec, {i * 32 + 1}, {i * 32 + 32})', f'list_slice(x.vec, {i * 32 + 1}, {i * 32 + 32})')}, x.id) AS r FROM v q, v x WHERE q.id < 10 AND q.id <> x.id)" for i in range(2)) + " SELECT a.qid, a.id AS first_id, b.id AS second_id FROM p0 a JOIN p1 b ON a.qid = b.qid WHERE a.r = 1 AND b.r = 1")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    half = lambda i: v.select("id", F.slice("vec", i * 32 + 1, 32).alias("vec"))
+    a, b = (knn.exact_knn(few(half(i)), half(i), 1, exclude_self=True) for i in range(2))
+    return a.select("qid", F.col("id").alias("first_id")).join(b.select("qid", F.col("id").alias("second_id")), "qid")
+
+
+@query("j18_multi_index_cells", f"""WITH {V}, {s_pinned(8)}, h AS (SELECT * FROM (VALUES (0), (1)) t(h)),
+d AS (SELECT q.id AS qid, h, c.list_no AS code, {s_l2('list_slice(q.vec, h * 32 + 1, h * 32 + 32)', 'list_slice(c.vec, h * 32 + 1, h * 32 + 32)')} AS dis FROM v q, c, h WHERE q.id < 10)
+{s_top('SELECT a.qid, CAST(a.code + 8 * b.code AS BIGINT) AS id, a.dis + b.dis AS dis FROM d a JOIN d b ON a.qid = b.qid WHERE a.h = 0 AND b.h = 1')}""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = models.pinned_centroids(v, 8)
+    near = lambda h: models.assign(few(v).select("id", F.slice("vec", h * 32 + 1, 32).alias("vec")), c[:, h * 32 : h * 32 + 32], 8).select(F.col("id").alias("qid"), F.col("list_no").alias(f"c{h}"), F.col("dis").alias(f"d{h}"))
+    cells = near(0).join(near(1), "qid").select("qid", (F.col("c0") + 8 * F.col("c1")).cast("long").alias("id"), (F.col("d0") + F.col("d1")).alias("dis"))
+    return rounded(knn.top_k(cells, 5).select("qid", "rank", "id", "dis"))
+
+
+@query("j25_navigable_graphs_in_shards")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(graphs.sharded_graph_search(few(v), v, 5))
+
+
+@query("j28_nn_descent")
+def _(spark, sf):
+    return rounded(graphs.nn_descent(vectors(spark, sf), 5, rounds=2))
+
+
+@query("j51_margin_mining", f"""WITH {V}, a AS (SELECT * FROM v WHERE id % 2 = 0 AND id < 100), b AS (SELECT * FROM v WHERE id % 2 = 1),
+f AS ({s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM a q, b x", 4, dis='dis')}), g AS ({s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM b q, a x", 4, dis='dis')}),
+fm AS (SELECT qid, avg(dis) AS m FROM f GROUP BY qid), gm AS (SELECT qid, avg(dis) AS m FROM g GROUP BY qid)
+SELECT f.qid, f.id, round(2 * f.dis / (fm.m + gm.m), 6) AS margin FROM f JOIN fm ON f.qid = fm.qid JOIN gm ON gm.qid = f.id WHERE 2 * f.dis / (fm.m + gm.m) > 1""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    a, b = v.where("id % 2 = 0 and id < 100"), v.where("id % 2 = 1")
+    f, g = knn.exact_knn(a, b, 4), knn.exact_knn(b, a, 4)
+    m = lambda t, c: t.groupBy(F.col("qid").alias(c)).agg(F.avg("dis").alias(f"m_{c}"))
+    t = f.join(m(f, "qid"), "qid").join(m(g, "id"), "id")
+    return t.select("qid", "id", (2 * F.col("dis") / (F.col("m_qid") + F.col("m_id"))).alias("margin")).where("margin > 1").withColumn("margin", F.round("margin", 6))
+
+
+# Ranges.
+
+
+@query("r01_range_l2", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis < 1.5")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(knn.range_search(few(v), v, 1.5))
+
+
+@query("r01_range_ip", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['ip']} AS dis FROM v q, v x WHERE q.id < 10) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis > 0.25")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(knn.range_search(few(v), v, 0.25, "ip"))
+
+
+@query("r02_ivf_range", f"WITH {L}, p AS ({S_CAND}) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis < 1.6")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    return rounded(ivf.range_search(few(v), ivf.build(v, c), c, 1.6, NPROBE))
+
+
+@query("r09_range_with_budget", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10), t AS (SELECT dis FROM p WHERE dis < 2 ORDER BY dis, qid, id LIMIT 1 OFFSET 100) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis < (SELECT dis FROM t)")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    p = knn.range_search(few(v), v, 2.0)
+    t = p.orderBy("dis", "qid", "id").offset(100).limit(1).select(F.col("dis").alias("cut"))
+    return rounded(p.crossJoin(F.broadcast(t)).where("dis < cut").drop("cut"))
+
+
+# Selectors, subsets, mutations.
+
+
+def _selector(name: str, spark_pred: Column | Callable, sql_pred: str) -> None:
+    @query(name, f"SELECT vec_id AS id FROM embeddings WHERE {sql_pred}")
+    def _(spark, sf):
+        return vectors(spark, sf).where(spark_pred).select("id")
+
+
+_selector("p01_id_range", "id >= 100 and id < 200", "vec_id >= 100 AND vec_id < 200")
+_selector("p02_id_array", "id in (1, 5, 77, 300)", "vec_id IN (1, 5, 77, 300)")
+_selector("p05_combined_selectors", "((id % 2 = 0) != (id < 250)) and not (id in (4, 6))", "((vec_id % 2 = 0) <> (vec_id < 250)) AND vec_id NOT IN (4, 6)")
+_selector("p16_subset_by_modulus", "id % 7 = 3", "vec_id % 7 = 3")
+
+
+@query("p03_id_batch", "SELECT vec_id AS id FROM embeddings WHERE vec_id IN (SELECT p_partkey * 3 FROM part)")
+def _(spark, sf):
+    ids = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") * 3).alias("id"))
+    return vectors(spark, sf).join(ids, "id", "left_semi").select("id")
+
+
+@query("p04_id_bitmap", "SELECT vec_id AS id FROM embeddings WHERE vec_id < 32 AND ((CASE CAST(floor(vec_id / 8) AS INTEGER) WHEN 0 THEN 165 WHEN 1 THEN 15 WHEN 2 THEN 240 ELSE 129 END) >> CAST(vec_id % 8 AS INTEGER)) & 1 = 1")
+def _(spark, sf):
+    table = F.array(*[F.lit(x) for x in (165, 15, 240, 129)])
+    bit = F.call_function("shiftright", F.get(table, F.floor(F.col("id") / 8).cast("int")), (F.col("id") % 8).cast("int")).bitwiseAND(F.lit(1))
+    return vectors(spark, sf).where((F.col("id") < 32) & (bit == 1)).select("id")
+
+
+@query("p11_residuals", f"WITH {A}, r AS (SELECT a.id, a.list_no, list_transform(list_zip(a.vec, c.vec), lambda p: p[1] - p[2]) AS d FROM a JOIN c ON a.list_no = c.list_no WHERE rank = 1) SELECT id, list_no, round(list_sum(d), 6) AS total FROM r")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    cents = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "list_no int, cvec array<double>")
+    r = models.assign(v, c).join(F.broadcast(cents), "list_no").select("id", "list_no", F.zip_with("vec", "cvec", lambda a, b: a - b).alias("d"))
+    return r.select("id", "list_no", F.round(F.aggregate("d", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("p14_distance_subset", f"WITH {V} SELECT q.id AS qid, x.id, round({S_METRICS['l2']}, 6) AS dis FROM v q JOIN v x ON x.id = q.id * 3 + 1 WHERE q.id < 50")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    pairs = few(v, 50).select(F.col("id").alias("qid"), F.explode(F.array(F.col("id") * 3 + 1, F.lit(-1))).alias("id"))
+    return rounded(knn.knn_of_candidates(pairs, v, v))
+
+
+@query("u01_merge_with_offset", "SELECT vec_id AS id, label FROM embeddings UNION ALL SELECT vec_id + 100000, label FROM embeddings WHERE vec_id < 50")
+def _(spark, sf):
+    v = vectors(spark, sf, "label").select("id", "label")
+    return ivf.merge_lists(v, few(v, 50), 100000)
+
+
+@query("u02_remove_and_renumber", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id AS old_id FROM embeddings WHERE vec_id % 4 <> 0")
+def _(spark, sf):
+    """Ranks by blocks of ids: a block's own rank plus the sizes of those before it."""
+    v = vectors(spark, sf).where("id % 4 <> 0").select("id", F.floor(F.col("id") / 1000).alias("block"))
+    before = v.groupBy("block").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = v.withColumn("own", F.row_number().over(Window.partitionBy("block").orderBy("id")))
+    return own.join(F.broadcast(before), "block").select((F.col("before") + F.col("own") - 1).alias("id"), F.col("id").alias("old_id"))
+
+
+@query("u03_update_by_id", "SELECT vec_id AS id, CASE WHEN vec_id < 20 THEN -1 ELSE label END AS label FROM embeddings")
+def _(spark, sf):
+    v = vectors(spark, sf, "label").select("id", "label")
+    new = few(v, 20).withColumn("label", F.lit(-1))
+    return v.join(new, "id", "left_anti").unionByName(new)
+
+
+@query("u04_sliding_slices", "SELECT vec_id AS id, vec_id // 100 AS slice FROM embeddings WHERE vec_id // 100 > (SELECT max(vec_id // 100) FROM embeddings) - 3")
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", F.floor(F.col("id") / 100).alias("slice"))
+    return v.crossJoin(F.broadcast(v.agg(F.max("slice").alias("top")))).where("slice > top - 3").drop("top")
+
+
+@query("u06_shards_merged", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    parts = [knn.exact_knn(few(v), v.where(F.col("id") % 3 == i), 5) for i in range(3)]
+    return rounded(knn.top_k(parts[0].union(parts[1]).union(parts[2]).drop("rank"), 5).select("qid", "rank", "id", "dis"))
+
+
+@query("u10_id_map", "SELECT e.vec_id AS id, s.s_suppkey AS external FROM embeddings e JOIN supplier s ON e.vec_id = s.s_suppkey")
+def _(spark, sf):
+    m = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("external"))
+    return vectors(spark, sf).select("id").join(m, "id")
+
+
+@query("u11_stop_word_lists", f"WITH {L}, n AS (SELECT list_no FROM l GROUP BY list_no HAVING count(*) < 40) SELECT l.list_no, id FROM l JOIN n ON l.list_no = n.list_no")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return ivf.stop_words(ivf.build(v, pinned(v)), 40).select("list_no", "id")
+
+
+@query("u11_masked_lists", f"WITH {L}, a0 AS (SELECT list_no, id FROM l WHERE list_no % 2 = 0) SELECT * FROM a0 UNION ALL SELECT list_no, id FROM l WHERE list_no % 2 = 1 AND list_no NOT IN (SELECT list_no FROM a0)")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    lists = ivf.build(v, pinned(v)).select("list_no", "id")
+    return ivf.masked(lists.where("list_no % 2 = 0"), lists)
+
+
+# Sorting, aggregates.
+
+
+@query("k08_smallest_of_each_row", f"WITH {V} SELECT id, list_slice(list_sort(vec), 1, 4) AS least FROM v")
+def _(spark, sf):
+    return vectors(spark, sf).select("id", F.slice(F.array_sort(F.col("vec").cast("array<double>")), 1, 4).alias("least"))
+
+
+@query("k09_nth_element", f"WITH {V}, u AS (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v) SELECT CAST(pos - 1 AS INTEGER) AS pos, quantile_cont(x, 0.25) AS x FROM u GROUP BY pos")
+def _(spark, sf):
+    return vectors(spark, sf).select(F.posexplode(F.col("vec").cast("array<double>")).alias("pos", "x")).groupBy("pos").agg(F.percentile("x", 0.25).alias("x"))
+
+
+@query("k11_bucket_sort", "SELECT label, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY label")
+def _(spark, sf):
+    return vectors(spark, sf, "label").groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+@query("g01_centroid_update", f"WITH {A}, u AS (SELECT list_no, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM a WHERE rank = 1) SELECT list_no, CAST(pos - 1 AS INTEGER) AS pos, round(avg(x), 8) AS x, count(*) AS size FROM u GROUP BY ALL")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = models.centroid_update(models.assign(v, pinned(v)))
+    return c.select("list_no", F.posexplode("vec").alias("pos", "x"), "size").withColumn("x", F.round("x", 8))
+
+
+@query("g03_objective", f"WITH {A} SELECT round(sum(dis), 4) AS objective, count(*) AS n FROM a WHERE rank = 1")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return models.assign(v, pinned(v)).agg(F.round(F.sum("dis"), 4).alias("objective"), F.count("*").alias("n"))
+
+
+@query("g04_imbalance", f"WITH {A}, n AS (SELECT list_no, count(*) AS n FROM a WHERE rank = 1 GROUP BY list_no) SELECT round({NLIST} * sum(n * n) / (sum(n) * sum(n)), 9) AS imbalance FROM n")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    n = models.assign(v, pinned(v)).groupBy("list_no").agg(F.count("*").cast("double").alias("n"))
+    return n.agg(F.round(NLIST * F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n")), 9).alias("imbalance"))
+
+
+@query("g05_list_sizes", f"WITH {A} SELECT list_no, count(*) AS size, round(max(sqrt(dis)), 6) AS radius FROM a WHERE rank = 1 GROUP BY list_no")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(ivf.list_statistics(ivf.build(v, pinned(v))), "radius")
+
+
+@query("g06_matrix_statistics", """WITH u AS (SELECT unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x, unnest([0, 1, 2, 3]) AS pos FROM lineitem)
+SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, count(*) FILTER (WHERE isnan(x)) AS n_nan, count(*) FILTER (WHERE x = 0) AS n_zero, min(x) AS least, max(x) AS most, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM u GROUP BY pos""")
+def _(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.posexplode(F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")).alias("pos", "x"))
+    n = lambda c: F.count(F.when(c, 1))
+    return li.groupBy("pos").agg(F.count("*").alias("n"), n(F.isnan("x")).alias("n_nan"), n(F.col("x") == 0).alias("n_zero"), F.min("x").alias("least"), F.max("x").alias("most"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"))
+
+
+@query("g07_code_histogram", f"WITH {CB} SELECT CAST(m AS INTEGER) AS m, code, count(*) AS n FROM e GROUP BY ALL")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return quantizers.encode_pq(v, book(v)).select(F.posexplode("code").alias("m", "code")).groupBy("m", "code").agg(F.count("*").alias("n"))
+
+
+@query("g08_equal_codes", f"WITH {CB}, k AS (SELECT id, list(code ORDER BY m) AS code FROM e WHERE m < 2 GROUP BY id) SELECT code, list(id ORDER BY id) AS ids FROM k GROUP BY code HAVING count(*) > 1")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = quantizers.encode_pq(v, book(v)).select("id", F.slice("code", 1, 2).alias("code"))
+    return c.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
+
+
+@query("g09_first_of_equal_codes", f"WITH {CB}, k AS (SELECT id, list(code ORDER BY m) AS code FROM e WHERE m < 2 GROUP BY id) SELECT code, min(id) AS id FROM k GROUP BY code")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return quantizers.encode_pq(v, book(v)).select("id", F.slice("code", 1, 2).alias("code")).groupBy("code").agg(F.min("id").alias("id"))
+
+
+@query("g13_covariance", """SELECT round(covar_pop(l_quantity, l_extendedprice), 4) AS qe, round(covar_pop(l_quantity, l_discount), 6) AS qd, round(var_pop(l_tax), 8) AS tt FROM lineitem""")
+def _(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return li.agg(F.round(F.covar_pop("l_quantity", "l_extendedprice"), 4).alias("qe"), F.round(F.covar_pop("l_quantity", "l_discount"), 6).alias("qd"), F.round(F.var_pop("l_tax"), 8).alias("tt"))
+
+
+@query("g14_medians", f"WITH {V}, u AS (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v) SELECT CAST(pos - 1 AS INTEGER) AS pos, median(x) AS m FROM u GROUP BY pos")
+def _(spark, sf):
+    return vectors(spark, sf).select(F.posexplode(F.col("vec").cast("array<double>")).alias("pos", "x")).groupBy("pos").agg(F.median("x").alias("m"))
+
+
+# Clustering and transforms.
+
+
+@query("c01_kmeans_two_rounds", f"""WITH {A}, u AS (SELECT list_no, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM a WHERE rank = 1), m AS (SELECT list_no, pos, avg(x) AS x FROM u GROUP BY ALL), c2 AS (SELECT list_no, list(x ORDER BY pos) AS vec FROM m GROUP BY list_no),
+b AS (SELECT x.id, x.vec, q.list_no, row_number() OVER (PARTITION BY x.id ORDER BY {s_l2('q.vec', 'x.vec')}, q.list_no) AS rank FROM c2 q, v x), w AS (SELECT list_no, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM b WHERE rank = 1)
+SELECT list_no, CAST(pos - 1 AS INTEGER) AS pos, round(avg(x), 6) AS x FROM w GROUP BY ALL""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c, _ = models.kmeans(v, NLIST, 2, start=pinned(v))
+    return spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(c) for j, x in enumerate(row)], "list_no int, pos int, x double").withColumn("x", F.round("x", 6))
+
+
+@query("c01_kmeans_objective_falls")
+def _(spark, sf):
+    _, stats = models.kmeans(vectors(spark, sf), NLIST, 6)
+    return spark.createDataFrame([(s["iteration"], s["objective"], s["imbalance"], s["splits"]) for s in stats], "iteration int, objective double, imbalance double, splits int")
+
+
+@query("c02_kmeans_spherical")
+def _(spark, sf):
+    c, _ = models.kmeans(vectors(spark, sf), 8, 4, spherical=True)
+    return spark.createDataFrame([(i, float(np.linalg.norm(x))) for i, x in enumerate(c)], "list_no int, norm double")
+
+
+@query("c04_kmeans_one_dimension")
+def _(spark, sf):
+    x = [r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_acctbal").collect()]
+    c, cost = models.exact_kmeans_1d(np.array(x), 4)
+    return spark.createDataFrame([(i, float(v), cost) for i, v in enumerate(c)], "list_no int, x double, cost double")
+
+
+@query("c09_sparse_assignment", f"WITH {A} SELECT id, list_no, round(dis, 6) AS dis FROM a WHERE rank = 1")
+def _(spark, sf):
+    """Through coordinates (id, pos, val) joined to centroid coordinates on pos."""
+    v = vectors(spark, sf)
+    c = pinned(v)
+    x = v.select("id", F.posexplode(F.col("vec").cast("array<double>")).alias("pos", "val"))
+    cents = spark.createDataFrame([(i, j, float(y)) for i, row in enumerate(c) for j, y in enumerate(row)], "list_no int, pos int, c double")
+    norms = spark.createDataFrame([(i, float(row @ row)) for i, row in enumerate(c)], "list_no int, c2 double")
+    dots = x.join(F.broadcast(cents), "pos").groupBy("id", "list_no").agg(F.sum(F.col("val") * F.col("c")).alias("dot"), F.sum(F.col("val") * F.col("val")).alias("x2"))
+    d = dots.join(F.broadcast(norms), "list_no").select("id", "list_no", (F.col("x2") - 2 * F.col("dot") + F.col("c2")).alias("dis"))
+    best = d.groupBy("id").agg(F.min(F.struct("dis", "list_no")).alias("b"))
+    return best.select("id", F.col("b.list_no").alias("list_no"), F.round(F.abs("b.dis"), 6).alias("dis"))
+
+
+@query("c10_two_level_kmeans")
+def _(spark, sf):
+    c = models.two_level_kmeans(vectors(spark, sf), 4, 12, 4)
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "list_no int, vec array<double>")
+
+
+@query("t04_pca")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    a, b = transforms.pca(v, 8)
+    return transforms.apply_linear(v, a, b)
+
+
+@query("t03_rotation_keeps_distances", f"WITH {V} SELECT id, round({s_ip('vec', 'vec')}, 6) AS n2 FROM v")
+def _(spark, sf):
+    r = transforms.apply_linear(vectors(spark, sf), transforms.random_rotation(64, 64))
+    return r.select("id", F.round(distances.norm2(F.col("vec")), 6).alias("n2"))
+
+
+@query("t05_itq")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return transforms.apply_linear(v, transforms.itq(_sample_matrix(v))).select("id", binary.bits_of(F.col("vec")).alias("bits"))
+
+
+@query("t06_opq_errors")
+def _(spark, sf):
+    _, errors = transforms.opq(_sample_matrix(vectors(spark, sf)), 8, 16, 5)
+    return spark.createDataFrame(list(enumerate(errors)), "iteration int, error double")
+
+
+@query("t07_remap", f"WITH {V} SELECT id, [vec[1], vec[17], vec[33], vec[49], 0.0] AS vec FROM v")
+def _(spark, sf):
+    return vectors(spark, sf).select("id", transforms.remap(F.col("vec"), [*transforms.remap_places(64, 4, uniform=True), -1]).alias("vec"))
+
+
+@query("t08_l2_normalise", f"WITH {V} SELECT id, list_transform(vec, lambda x: round(x / sqrt({s_ip('vec', 'vec')}), 8)) AS vec FROM v")
+def _(spark, sf):
+    return vectors(spark, sf).select("id", F.transform(transforms.l2_normalise(F.col("vec")), lambda x: F.round(x, 8)).alias("vec"))
+
+
+@query("t09_centre", f"WITH {V}, u AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v) SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(x - avg(x) OVER (PARTITION BY pos), 8) AS x FROM u")
+def _(spark, sf):
+    return transforms.centred(vectors(spark, sf)).select("id", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round("x", 8))
+
+
+# Functions and evaluation.
+
+
+@query("f03_pairwise_l2", f"WITH {V} SELECT q.id AS a, x.id AS b, round({S_METRICS['l2']}, 6) AS dis FROM v q, v x WHERE q.id < 20 AND x.id < 20")
+def _(spark, sf):
+    v = few(vectors(spark, sf), 20)
+    return rounded(knn.pairs(v, v)).select(F.col("qid").alias("a"), F.col("id").alias("b"), "dis")
+
+
+@query("f06_norms", f"WITH {V} SELECT id, round({s_ip('vec', 'vec')}, 8) AS n2, round(sqrt({s_ip('vec', 'vec')}), 8) AS n FROM v")
+def _(spark, sf):
+    return vectors(spark, sf).select("id", F.round(distances.norm2(F.col("vec")), 8).alias("n2"), F.round(F.sqrt(distances.norm2(F.col("vec"))), 8).alias("n"))
+
+
+@query("f07_vector_arithmetic", f"WITH {V} SELECT q.id, list_transform(list_zip(q.vec, x.vec), lambda p: p[1] + 0.5 * p[2]) AS madd FROM v q JOIN v x ON x.id = q.id + 1")
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    nxt = v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other"))
+    return v.join(nxt, "id").select("id", F.zip_with("vec", "other", lambda a, b: a + F.lit(0.5) * b).alias("madd"))
+
+
+@query("f13_hash_map_lookup", "SELECT e.vec_id AS key, coalesce(p.p_size, -1) AS value FROM embeddings e LEFT JOIN part p ON p.p_partkey = e.vec_id")
+def _(spark, sf):
+    t = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("value"))
+    return vectors(spark, sf).select(F.col("id").alias("key")).join(t, "key", "left").select("key", F.coalesce("value", F.lit(-1)).alias("value"))
+
+
+@query("f16_training_sample", "SELECT vec_id AS id FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || ':7'), vec_id LIMIT 64")
+def _(spark, sf):
+    return models.sample(vectors(spark, sf), 64, 7).select("id")
+
+
+@query("e01_recall_of_ivf", f"WITH {L}, f AS ({s_top(S_CAND)}), g AS ({s_top(f'SELECT q.id AS qid, x.id, {S_METRICS["l2"]} AS dis FROM v q, v x WHERE q.id < 10', 1)}) SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.qid = g.qid AND f.id = g.id) THEN 1.0 ELSE 0.0 END) AS recall FROM g")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    return evaluation.recall_at(ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE), knn.exact_knn(few(v), v, 1), 5)
+
+
+@query("e02_intersection", f"WITH {L}, f AS ({s_top(S_CAND)}), g AS ({s_top(f'SELECT q.id AS qid, x.id, {S_METRICS["l2"]} AS dis FROM v q, v x WHERE q.id < 10')}) SELECT g.qid, count(f.id) AS common FROM g LEFT JOIN f ON f.qid = g.qid AND f.id = g.id GROUP BY g.qid")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    return evaluation.intersection(ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE), knn.exact_knn(few(v), v, 5), 5)
+
+
+@query("e04_range_precision_recall", f"""WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis, {S_METRICS['l1']} AS l1 FROM v q, v x WHERE q.id < 10), f AS (SELECT qid, id FROM p WHERE l1 < 8), t AS (SELECT qid, id FROM p WHERE dis < 1.5),
+n AS (SELECT q.id AS qid, (SELECT count(*) FROM f WHERE f.qid = q.id) AS nf, (SELECT count(*) FROM t WHERE t.qid = q.id) AS nt, (SELECT count(*) FROM f JOIN t ON f.qid = t.qid AND f.id = t.id WHERE f.qid = q.id) AS nb FROM v q WHERE q.id < 10)
+SELECT qid, CASE WHEN nf = 0 THEN 1.0 ELSE CAST(nb AS DOUBLE) / nf END AS "precision", CASE WHEN nt = 0 THEN 1.0 ELSE CAST(nb AS DOUBLE) / nt END AS recall FROM n""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return evaluation.range_precision_recall(knn.range_search(few(v), v, 8.0, "l1"), knn.range_search(few(v), v, 1.5), few(v).select(F.col("id").alias("qid")))
+
+
+@query("e05_precision_recall_curve")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return evaluation.precision_recall_curve(knn.range_search(few(v), v, 9.0, "l1"), knn.range_search(few(v), v, 1.5), [4.0, 6.0, 8.0])
+
+
+@query("e07_pareto_points", "WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS key, CAST(p_size AS DOUBLE) AS perf, p_retailprice AS t FROM part) SELECT key, perf, t FROM (SELECT *, max(perf) OVER (ORDER BY t, perf DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) WHERE b IS NULL OR perf > b")
+def _(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_size").cast("double").alias("perf"), F.col("p_retailprice").alias("t"))
+    return evaluation.pareto(p)
+
+
+# Series and streams.
+
+P = "pt AS (SELECT CAST(user_id AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events WHERE user_id % 20 = 0)"
+ONE = "pt AS (SELECT 's' AS series_id, event_id AS t, value FROM events WHERE event_id < 600), w AS (SELECT id, vec FROM (SELECT t AS id, list(value) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS vec FROM pt) WHERE len(vec) = 16)"
+
+
+@query("a02_sliding_windows", f"WITH {P}, w AS (SELECT series_id, t AS id, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS vec FROM pt) SELECT series_id, id, vec FROM w WHERE len(vec) = 8")
+def _(spark, sf):
+    return series.windows(points(spark, sf), 8)
+
+
+@query("a18_a20_exact_window_scores", f"WITH {ONE}, d AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM w q, w x WHERE q.id < 100 AND abs(q.id - x.id) > 16), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dis, id) AS rank FROM d) SELECT qid AS id, round(var_pop(dis), 3) AS score FROM r WHERE rank <= 5 GROUP BY qid")
+def _(spark, sf):
+    w = series.windows(one_series(spark, sf), 16).select("id", "vec")
+    return rounded(series.exact_scores(few(w, 100), w, 5, 16), "score", digits=3)
+
+
+@query("a34_labelled_events", f"WITH {P}, g AS (SELECT *, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS run FROM pt WHERE label = 1), e AS (SELECT series_id, min(t) AS a, max(t) AS b FROM g GROUP BY series_id, run) SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY a) AS event, greatest(0, a - 7) AS begin, b AS \"end\" FROM e")
+def _(spark, sf):
+    return evaluation.events(points(spark, sf), 8)
+
+
+@query("a34_event_precision")
+def _(spark, sf):
+    p = points(spark, sf)
+    scores = p.select("series_id", F.col("t").alias("id"), F.col("value").alias("score"))
+    return evaluation.event_precision(scores, evaluation.events(p, 8), 8)
+
+
+@query("a14_expiry", f"WITH {L} SELECT list_no, id FROM l WHERE id >= 300")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return ivf.build(v, pinned(v)).where("id >= 300").select("list_no", "id")
+
+
+@query("a12_code_counts", f"WITH {CB} SELECT CAST(m AS INTEGER) AS m, code, CAST(count(*) AS DOUBLE) AS n FROM e WHERE id < 200 GROUP BY ALL")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    n = detector.code_counts(quantizers.encode_pq(few(v, 200), book(v)), M, CODES)
+    return spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(n) for j, x in enumerate(row) if x], "m int, code int, n double")
+
+
+@query("a13_codebook_drift", f"""WITH {CB}, z AS (SELECT sv.m, e.code, unnest(sv.sub) AS x, unnest(cb.sub) AS c, generate_subscripts(sv.sub, 1) AS pos FROM sv JOIN e ON sv.id = e.id AND sv.m = e.m JOIN cb ON cb.m = e.m AND cb.code = e.code)
+SELECT CAST(m AS INTEGER) AS m, code, CAST(pos - 1 AS INTEGER) AS pos, round(max(c) + sum(x - c) / count(*), 6) AS x FROM z GROUP BY m, code, pos""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    b = book(v)
+    codes = quantizers.encode_pq(v, b)
+    counts = detector.code_counts(codes, M, CODES)
+    out = detector.drifted(b, counts, codes)
+    rows = [(i, j, t, float(x)) for i in range(M) for j in range(CODES) if counts[i, j] for t, x in enumerate(out[i, j])]
+    return spark.createDataFrame(rows, "m int, code int, pos int, x double").withColumn("x", F.round("x", 6))
+
+
+def _scratch(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}" if where else tempfile.mkdtemp(prefix="tessera-stream-")
+
+
+def _detect(spark, sf, **options):
+    w = series.windows(one_series(spark, sf), 16).select("id", "vec")
+    d = detector.StreamingDetector(_scratch(spark), 16, nlist=8, nprobe=4, k=5, m=4, codes=16, horizon=300, batch=150, nlist_batch=4, n_iter=3, **options)
+    return d.run(w)
+
+
+@query("a32_online_incremental")
+def _(spark, sf):
+    return _detect(spark, sf)
+
+
+@query("a33_online_scores_first")
+def _(spark, sf):
+    return _detect(spark, sf, score_first=True)
+
+
+@query("a28_offline_kth_distance")
+def _(spark, sf):
+    w = series.windows(one_series(spark, sf), 16).select("id", "vec")
+    return detector.offline_scores(few(w, 100), w, 8, 4, 5, 4, 16, 3)
+
+
+@query("a30_online_rebuild")
+def _(spark, sf):
+    w = series.windows(one_series(spark, sf), 16).select("id", "vec")
+    return detector.rebuild_scores(w, 16, 8, 4, 5, 4, 16, 300, 300, 2)
+
+
+# Configuration and sources.
+
+
+@query("x01_factory_specs")
+def _(spark, sf):
+    texts = ["Flat", "IVF16,Flat", "PCA32,IVF100,PQ8", "OPQ16_64,IVF256_HNSW32,PQ16x4fs", "L2norm,SQ8", "HNSW32", "LSHrt", "IVF64,RQ4x8", "IDMap,Flat", "IVF16,PQ8,RFlat", "BHash8x12", "BIVF32"]
+    specs = [factory.parse(64, t) for t in texts]
+    return spark.createDataFrame([(t, s.kind, s.codec, s.nlist, s.code_size(), s.describe()) for t, s in zip(texts, specs)], "text string, kind string, codec string, nlist long, code_size long, described string")
+
+
+@query("x04_parameter_space")
+def _(spark, sf):
+    s = factory.ParameterSpace.of(factory.parse(64, "IVF64,PQ8,RFlat"))
+    return spark.createDataFrame([(i, s.text(c)) for i, c in enumerate(s.combinations())], "number int, setting string")
+
+
+@query("s01_vector_records", "SELECT vec_id AS id, CAST(4 + 4 * len(embedding) AS INTEGER) AS bytes FROM embeddings")
+def _(spark, sf):
+    return vector_files.to_records(vectors(spark, sf)).select("id", F.octet_length("record").alias("bytes"))
+
+
+@query("s14_synthetic_vectors")
+def _(spark, sf):
+    return vector_files.synthetic(spark, 16, 200)
