@@ -18,26 +18,37 @@ from pyspark.sql import functions as F
 
 from tessera.llm._session import prepare
 
-QUERY_BLOCK, SHARD = 4096, 4096
+QUERY_BLOCK, SHARD = 4096, 8192
 #: Thresholds, as shares of a query's largest impact.
-STEPS = (0.85, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
+STEPS = (0.8, 0.65, 0.5, 0.42, 0.35, 0.2, 0.1)
+
+
+#: Accumulators hold impacts below 2**50 and above them the number of dimensions met.
+SEEN_BITS = 50
+SEEN = 1 << SEEN_BITS
+#: Components within this go through the index, so that impacts of up to 4096 dimensions fit.
+LARGEST = 1 << 18
 
 
 class Postings:
     """A shard's vectors (rows of int64) by dimension and value."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
+        self.x = x.astype(np.float64)  # exact: components and sums stay below 2**53
         self.order = np.argsort(x, axis=0, kind="stable").T.copy()  # per dimension: rows by ascending value
         self.values = np.take_along_axis(x.T, self.order, axis=1)
 
     def members(self, q: np.ndarray, k: int, enough: int) -> tuple[np.ndarray, int]:
-        """Rows that may be among the k best of q, all of them; and how many postings were read."""
+        """Rows that may be among the k best of q, all of them; and how many postings were read.
+
+        Reading ends when few rows are possible, or after half of all postings: from there on,
+        scoring the rows that are possible costs less than reading the rest would.
+        """
         n = len(self.x)
         dims = np.flatnonzero(q)
         if n <= max(k, enough) or not len(dims):
             return np.arange(n), 0
-        acc, unseen, read = np.zeros(n, np.int64), np.full(n, len(dims), np.int64), 0
+        acc, read = np.zeros(n, np.int64), 0  # impacts in the low bits, dimensions met from SEEN up
         w = q[dims]
         low, high = self.values[dims, 0], self.values[dims, -1]
         worst = np.where(w > 0, w * low, w * high)
@@ -54,17 +65,18 @@ class Postings:
                     part = slice(done[d], to)
                 if to > done[d]:
                     rows = self.order[j, part]
-                    acc[rows] += w[d] * self.values[j, part] - worst[d]
-                    unseen[rows] -= 1
+                    acc[rows] += w[d] * self.values[j, part] + (SEEN - worst[d])
                     read += len(rows)
                     done[d] = to
             if step == 0.0:
                 break
-            least = np.partition(acc, n - k)[n - k]  # a lower bound of the k-th best score
-            possible = np.flatnonzero(acc + unseen * max(0, tau - 1) >= least)
-            if len(possible) <= enough:
+            met = acc & (SEEN - 1)
+            least = np.partition(met, n - k)[n - k]  # a lower bound of the k-th best score
+            possible = np.flatnonzero(met + (len(dims) - (acc >> SEEN_BITS)) * max(0, tau - 1) >= least)
+            if len(possible) <= enough or 2 * read >= n * len(dims):
                 return possible, read
-        return np.flatnonzero(acc >= np.partition(acc, n - k)[n - k]), read
+        met = acc & (SEEN - 1)
+        return np.flatnonzero(met >= np.partition(met, n - k)[n - k]), read
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -88,15 +100,13 @@ def _search(k: int):
             xs = xs.sort_values("vec_id")
             width = max(max(map(len, qs.v)), max(map(len, xs.v)))
             ids, x = xs.vec_id.to_numpy(), _matrix(xs.v.to_numpy(), width)
-            small = float(np.abs(x).max(initial=0)) < 2**25
+            q_all = _matrix(qs.v.to_numpy(), width)
+            small = max(int(np.abs(x).max(initial=0)), int(np.abs(q_all).max(initial=0))) < LARGEST and width <= 4096
             index = Postings(x) if small else None
-            for qid, q in zip(qs.vec_id.to_numpy(), _matrix(qs.v.to_numpy(), width)):
-                if index is not None and np.abs(q).max(initial=0) < 2**25:
-                    rows, _ = index.members(q, min(k + 1, len(ids)), max(4 * k, len(ids) // 50))
-                else:
-                    rows = np.arange(len(ids))
+            for qid, q in zip(qs.vec_id.to_numpy(), q_all):
+                rows = np.arange(len(ids)) if index is None else index.members(q, min(k + 1, len(ids)), max(4 * k, len(ids) // 50))[0]
                 rows = rows[ids[rows] != qid]
-                score = _exact(x[rows], q)
+                score = _exact(x[rows], q) if index is None else (index.x[rows] @ q.astype(np.float64)).astype(np.int64)
                 best = np.lexsort((ids[rows], -score.astype(object) if len(score) and score.min() == -(2**63) else -score))[:k]
                 out[0].extend([qid] * len(best))
                 out[1].extend(ids[rows[best]])
