@@ -9,8 +9,10 @@ import re
 
 import numpy as np
 
-#: Segments whose ids a worker keeps: at most twice as many (a young and an old generation).
+#: Segments whose ids a worker keeps: at most twice as many (a young and an old generation, some 200 bytes each).
 CACHE, LONGEST = 700_000, 48
+#: The same, where other operators' workers share the executor.
+SMALL_CACHE = 150_000
 #: Characters that Python takes for white space and the tokenizer's pattern does not.
 _ODD = "[\x1c-\x1f]"
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -28,7 +30,7 @@ class Encoder:
     or odd control characters, go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,6 +46,7 @@ class Encoder:
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
+        self.cache = cache
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -103,12 +106,12 @@ class Encoder:
         whole = iter(self._whole([t for t, ids in zip(texts, out) if ids is None]))
         for key in forget:
             del self.young[key]
-        if len(self.young) > CACHE:
+        if len(self.young) > self.cache:
             self.old, self.young = self.young, {}
         return [next(whole) if ids is None else ids for ids in out]
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path)
+    return Encoder(path, cache)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._session import Kept, documents, prepare
 from tessera.llm._text import pieces as runs
-from tessera.llm._tokens import encoder, tokenizer_path
+from tessera.llm._tokens import CACHE, SMALL_CACHE, encoder, tokenizer_path
 
 SEQ_LEN, END_ID = 1024, 2
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
@@ -134,13 +134,13 @@ def plan(counts: np.ndarray, seq_len: int) -> list[tuple[tuple[int, ...], int]]:
     return min(out, plain, key=lambda p: sum(n for _, n in p))
 
 
-def _cut(path: str, seq_len: int, end_id: int):
+def _cut(path: str, seq_len: int, end_id: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for batch in runs(whole):
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text").to_pylist())):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, cache).encode(batch.column("text").to_pylist())):
                     ids += tail
                     n = len(ids) // 4
                     start, end, piece = 0, (n - 1) % seq_len + 1, 0
@@ -153,14 +153,14 @@ def _cut(path: str, seq_len: int, end_id: int):
     return run
 
 
-def cut_pieces(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, cache: int = CACHE) -> DataFrame:
     """Each text's ids and the end id, in pieces of seq_len, the first shorter if need be.
 
     Columns doc_id, piece, start, length and ids (little-endian unsigned 32-bit). Null text
     counts as empty: one piece, the end id alone.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.mapInArrow(_cut(path, seq_len, end_id), PIECE_SCHEMA)
+    return docs.mapInArrow(_cut(path, seq_len, end_id, cache), PIECE_SCHEMA)
 
 
 def _place(shared):
@@ -207,7 +207,7 @@ def place(pieces: DataFrame, seq_len: int = SEQ_LEN, slot: int = 20_000) -> Data
     return ranked.mapInArrow(_place(shared), ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
-def pack(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, digest: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, digest: bool = False, cache: int = CACHE) -> DataFrame:
     """Packs whole texts into as few sequences of seq_len tokens as it can.
 
     Columns of ``cut_pieces`` plus sequence_id and offset; with ``digest`` the crc32 of a
@@ -216,7 +216,7 @@ def pack(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = END_I
     columns are ignored, an empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
-    pieces = cut_pieces(docs, path, seq_len, end_id)
+    pieces = cut_pieces(docs, path, seq_len, end_id, cache)
     if digest:
         pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return place(Kept(spark).table(pieces, "pieces"), seq_len)
@@ -234,4 +234,4 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the pieces of all that is left, with their places."""
-    return pack(docs, tokenizer_path(), digest=True)
+    return pack(docs, tokenizer_path(), digest=True, cache=SMALL_CACHE)
