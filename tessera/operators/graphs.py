@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 
 from tessera.functions import distances
 from tessera.operators import knn, models
+from tessera.operators.lineage import cut
 
 
-def nn_descent(vectors: DataFrame, k: int, rounds: int = 4, sample: int = 10, seed: int = 1) -> DataFrame:
+def nn_descent(vectors: DataFrame, k: int, rounds: int = 4, sample: int = 12, seed: int = 1, pool: int = 16) -> DataFrame:
     """(src, dst, dis): approximate k-NN graph. Neighbours of neighbours become candidates, round by round.
 
-    Each round joins at most ``sample`` edges a node with as many of its neighbours, so no node's degree squares.
+    ``pool`` neighbours are kept on the way. Each round joins at most ``sample`` edges a node with as many of its neighbours, so no node's degree squares.
     """
     v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    n_start = k
-    slots = v.withColumn("slot", F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.lit(1), F.lit(v.count() // (2 * n_start)))))
-    first = slots.select(F.col("id").alias("src"), "slot").join(slots.select(F.col("id").alias("dst"), "slot"), "slot").where("src <> dst").select("src", "dst")
-    edges = _best(_with_distance(first, v), k)
+    slots = F.greatest(F.lit(1), F.lit(v.count() // (pool // 2)))
+    start = v.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + i)), slots).alias("h")) for i in range(3)])).alias("slot"))  # three random groupings overlap
+    first = start.select(F.col("id").alias("src"), "slot").join(start.select(F.col("id").alias("dst"), "slot"), "slot").where("src <> dst").select("src", "dst").distinct()
+    pool = max(pool, k)
+    edges = cut(_best(_with_distance(first, v), pool))
     for _ in range(rounds):
         w = Window.partitionBy("a").orderBy("dis", "b")
         both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "dis").union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "dis"))
@@ -30,8 +32,8 @@ def nn_descent(vectors: DataFrame, k: int, rounds: int = 4, sample: int = 10, se
         steps = near.select("a", F.col("b").alias("src")).join(near.select("a", F.col("b").alias("dst")), "a").where("src <> dst").select("src", "dst")
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         fresh = _with_distance(steps.union(back).distinct(), v)
-        edges = _best(edges.union(fresh.select("src", "dst", "dis")).distinct(), k)
-    return edges
+        edges = cut(_best(edges.union(fresh.select("src", "dst", "dis")).distinct(), pool))
+    return _best(edges, k)
 
 
 def _with_distance(pairs: DataFrame, v: DataFrame) -> DataFrame:
