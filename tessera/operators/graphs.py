@@ -14,7 +14,7 @@ from tessera.operators import knn, models
 from tessera.operators.lineage import cut
 
 
-def nn_descent(vectors: DataFrame, k: int, rounds: int = 4, sample: int = 12, seed: int = 1, pool: int = 16) -> DataFrame:
+def nn_descent(vectors: DataFrame, k: int, rounds: int = 4, sample: int = 16, seed: int = 1, pool: int = 16) -> DataFrame:
     """(src, dst, dis): approximate k-NN graph. Neighbours of neighbours become candidates, round by round.
 
     ``pool`` neighbours are kept on the way. Each round joins at most ``sample`` edges a node with as many of its neighbours, so no node's degree squares.
@@ -27,7 +27,7 @@ def nn_descent(vectors: DataFrame, k: int, rounds: int = 4, sample: int = 12, se
     edges = cut(_best(_with_distance(first, v), pool))
     for _ in range(rounds):
         w = Window.partitionBy("a").orderBy("dis", "b")
-        both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "dis").union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "dis"))
+        both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "dis").union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "dis")).distinct()
         near = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("a", "b")
         steps = near.select("a", F.col("b").alias("src")).join(near.select("a", F.col("b").alias("dst")), "a").where("src <> dst").select("src", "dst")
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
