@@ -979,3 +979,106 @@ def _(spark, sf):
 @query("s14_synthetic_vectors")
 def _(spark, sf):
     return vector_files.synthetic(spark, 16, 200)
+
+
+# More compositions.
+
+S_SQ = f"""u AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v), r AS (SELECT pos, min(x) AS lo, max(x) - min(x) AS w FROM u GROUP BY pos),
+y AS (SELECT id, list(lo + w * ((floor(255.0 * greatest(0.0, least(1.0, (x - lo) / w))) + 0.5) / 255.0) ORDER BY u.pos) AS vec FROM u JOIN r ON u.pos = r.pos GROUP BY id)"""
+
+
+@query("j13_ivf_scalar_quantized", f"WITH {L}, {S_SQ}, ly AS (SELECT l.list_no, l.id, y.vec FROM l JOIN y ON l.id = y.id) " + s_top(S_CAND.replace("JOIN l x", "JOIN ly x"), dis="round(dis, 5)"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    lo, width = quantizers.as_arrays(quantizers.ranges(v))
+    lists = ivf.build(v, c).withColumn("vec", quantizers.decode_sq(quantizers.encode_sq(F.col("vec"), lo, width), lo, width))
+    return rounded(ivf.search(few(v), lists, c, 5, NPROBE), digits=5)
+
+
+@query("j12_ivf_pq_refined", f"""WITH {L}, {CB[len(V) + 2:]},
+d AS (SELECT p.qid, l.id, sum(t.dis) AS dis FROM pr p JOIN l ON p.list_no = l.list_no JOIN e ON e.id = l.id JOIN t ON t.id = p.qid AND t.m = e.m AND t.code = e.code GROUP BY 1, 2),
+f AS ({s_top('SELECT * FROM d', 20)}) {s_top(f"SELECT f.qid, f.id, {S_METRICS['l2']} AS dis FROM f JOIN v q ON q.id = f.qid JOIN v x ON x.id = f.id")}""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c, b = pinned(v), book(v)
+    lists = quantizers.encode_pq(ivf.build(v, c), b, "list_no")
+    p = ivf.probes(few(v), c, NPROBE).drop("qvec").join(lists.select("list_no", "id", "code"), "list_no").join(quantizers.tables(few(v), b), "qid")
+    first = knn.top_k(p.select("qid", "id", quantizers.adc(F.col("lut"), F.col("code")).alias("dis")), 20)
+    return rounded(knn.refine(first, v, v, 5))
+
+
+@query("j16_ivf_independent_quantizer", f"WITH {L}, n AS (SELECT id, list_transform(vec, lambda x: x / sqrt({s_ip('vec', 'vec')})) AS vec FROM v) " + s_top(f"SELECT p.qid, x.id, {s_l2('q.vec', 'x.vec')} AS dis FROM pr p JOIN l ON p.list_no = l.list_no JOIN n x ON x.id = l.id JOIN n q ON q.id = p.qid"))
+def _(spark, sf):
+    """Lists by the raw vector, distances between transformed ones."""
+    v = vectors(spark, sf)
+    c = pinned(v)
+    n = v.select("id", transforms.l2_normalise(F.col("vec")).alias("vec"))
+    found = ivf.candidates(ivf.probes(few(v), c, NPROBE), ivf.build(v, c)).select("qid", "id")
+    return rounded(knn.refine(found, n, n, 5))
+
+
+@query("j43_list_major_batch_search", f"WITH {L.replace('id < 10', 'id % 5 = 0')} " + s_top(S_CAND, dis="round(dis, 5)"))
+def _(spark, sf):
+    """All queries of a list meet its entries at once, as matrix products."""
+    import pandas as pd
+
+    v = vectors(spark, sf)
+    c = pinned(v)
+    probed, lists = ivf.probes(v.where("id % 5 = 0"), c, NPROBE).select("qid", "qvec", "list_no"), ivf.build(v, c).select("list_no", "id", "vec")
+
+    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"qid": [], "id": [], "dis": []})
+        d = models.squared_distances(models.matrix(q.qvec), models.matrix(x.vec))
+        return pd.DataFrame({"qid": np.repeat(q.qid.to_numpy(), len(x)), "id": np.tile(x.id.to_numpy(), len(q)), "dis": d.ravel()})
+
+    found = probed.groupBy("list_no").cogroup(lists.groupBy("list_no")).applyInPandas(run, "qid long, id long, dis double")
+    return rounded(knn.top_k(found, 5).select("qid", "rank", "id", "dis"), digits=5)
+
+
+@query("p13_search_and_reconstruct", f"WITH {L}, f AS ({s_top(S_CAND)}) SELECT f.qid, f.rank, f.id, round({s_ip('v.vec', 'v.vec')}, 6) AS n2 FROM f JOIN v ON v.id = f.id")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c = pinned(v)
+    found = ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE)
+    return found.join(v, "id").select("qid", "rank", "id", F.round(distances.norm2(F.col("vec")), 6).alias("n2"))
+
+
+@query("p16_subset_of_lists", f"WITH {L} SELECT list_no, id FROM l WHERE list_no BETWEEN 3 AND 7")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return ivf.build(v, pinned(v)).where(F.col("list_no").between(3, 7)).select("list_no", "id")
+
+
+@query("u05_replace_list_range", f"WITH {L} SELECT list_no, id FROM l WHERE list_no < 8 UNION ALL SELECT list_no, id + 1000 FROM l WHERE list_no >= 8")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    lists = ivf.build(v, pinned(v)).select("list_no", "id")
+    return lists.where("list_no < 8").unionByName(lists.where("list_no >= 8").withColumn("id", F.col("id") + 1000))
+
+
+@query("u11_stacked_lists", f"WITH {L} SELECT list_no, id FROM l UNION ALL SELECT list_no + {NLIST}, id FROM l")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    lists = ivf.build(v, pinned(v)).select("list_no", "id")
+    return ivf.stacked([(lists, NLIST), (lists, NLIST)])
+
+
+@query("k04_merged_result_tables", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10), a AS ({s_top('SELECT * FROM p WHERE id % 2 = 0', dis='dis')}), b AS ({s_top('SELECT * FROM p WHERE id % 2 = 1', dis='dis')}) " + s_top("SELECT qid, id, dis FROM a UNION ALL SELECT qid, id, dis FROM b"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    a, b = (knn.exact_knn(few(v), v.where(F.col("id") % 2 == i), 5) for i in range(2))
+    return rounded(knn.top_k(a.unionByName(b).drop("rank"), 5).select("qid", "rank", "id", "dis"))
+
+
+@query("a09_merge_formulas", f"""WITH {A}, {s_pinned(6, 2).replace('c AS', 'n AS')}, nc AS (SELECT n.list_no AS i, n.vec, c.list_no AS j, {s_l2('n.vec', 'c.vec')} AS dis FROM n, c QUALIFY row_number() OVER (PARTITION BY n.list_no ORDER BY dis, c.list_no) = 1),
+s AS (SELECT list_no, max(sqrt(dis)) AS r, CAST(count(*) AS DOUBLE) AS n FROM a WHERE rank = 1 GROUP BY list_no), m AS (SELECT j, sum(10.0 / s.n) AS w, sum(10.0 / s.n * 0.5) AS wr, count(*) AS k FROM nc JOIN s ON s.list_no = nc.j WHERE sqrt(nc.dis) < s.r GROUP BY j)
+SELECT s.list_no, round((s.r + coalesce(m.wr, 0)) / (1 + coalesce(m.w, 0)), 6) AS radius, s.n + 10 * coalesce(m.k, 0) AS size FROM s LEFT JOIN m ON m.j = s.list_no""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    c, new = pinned(v), models.pinned_centroids(v, 6, 2)
+    st = {r.list_no: r for r in ivf.list_statistics(ivf.build(v, c)).collect()}
+    r, n = (np.array([float(st[i][f]) for i in range(NLIST)]) for f in ("radius", "size"))
+    _, radius, size, _ = detector.merge_centroids(c, r, n, new, np.full(6, 0.5), np.full(6, 10.0))
+    return spark.createDataFrame([(i, float(radius[i]), float(size[i])) for i in range(NLIST)], "list_no int, radius double, size double").withColumn("radius", F.round("radius", 6))
