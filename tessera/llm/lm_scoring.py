@@ -174,13 +174,15 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     sums = lambda f: marked.mapInArrow(f, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     words = kept.table(sums(_count_words), "words")
     total, total_t = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("t")).first())
-    frequent = words.where(F.col("n") * vocabulary >= total).toPandas()  # at most ``vocabulary`` rows
-    frequent = frequent.assign(h=frequent.key.to_numpy(np.int64).view(np.uint64)).sort_values("h")
-    vocab = frequent.h.to_numpy(np.uint64)
+    frequent = words.where(F.col("n") * vocabulary >= total).toArrow()  # at most ``vocabulary`` rows
+    frequent = {c: frequent.column(c).to_numpy() for c in ("key", "n", "t")}
+    vocab = frequent["key"].astype(np.int64).view(np.uint64)
+    order = np.argsort(vocab)
+    vocab, frequent = vocab[order], {c: x[order] for c, x in frequent.items()}
     bag = lambda c, n: np.concatenate([[n - frequent[c].sum()], frequent[c]]).astype(np.float64)
     found = kept.table(sums(_count_pairs(sc.broadcast(vocab))), "pairs")
-    own = found.where((F.col("n") * pairs >= total) | ((F.col("t") * pairs >= total_t) & (F.col("t") > 0))).toPandas().sort_values("key")  # at most 2 * ``pairs`` rows
-    model = lambda c, n: Model(bag(c, n), n, own.key.to_numpy(np.int64), own[c].to_numpy())
+    own = found.where((F.col("n") * pairs >= total) | ((F.col("t") * pairs >= total_t) & (F.col("t") > 0))).orderBy("key").toArrow()  # at most 2 * ``pairs`` rows
+    model = lambda c, n: Model(bag(c, n), n, own.column("key").to_numpy(), own.column(c).to_numpy())
     shared = sc.broadcast((vocab, model("t", total_t), model("n", total)))
     return texts.mapInArrow(_score(shared), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
