@@ -247,11 +247,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow.fs import FileSystem
 
     for batch in batches:
-        for uri in batch.column("path").to_pylist():
+        for uri, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
             store, at = FileSystem.from_uri(uri)
             with store.open_input_file(at) as source:
                 rows: tuple[list, ...] = ([], [], [], [])
-                start = held = 0
+                start, held = before, 0
 
                 def flush(rows=rows, uri=uri):
                     out = pa.RecordBatch.from_arrays([pa.array([uri] * len(rows[0])), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["path", "doc_id", "start", "n_tokens", "ids"])
@@ -270,15 +270,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tables(shards: DataFrame) -> DataFrame:
-    """(path, doc_id, start within the shard, n_tokens, ids) of all documents in the shards."""
+    """(path, doc_id, start, n_tokens, ids) of all documents in the shards; start counts the ids before, in all shards.
+
+    ``shards`` are the rows of ``write_tables``, written to a table; a window puts them (one row for each shard) in order.
+    """
     spark = shards.sparkSession
-    return shards.select("path").repartition(partitions(spark), "path").mapInArrow(_scan, "path string, doc_id long, start long, n_tokens long, ids binary")
+    before = Window.orderBy("part", "n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = shards.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
+    return placed.repartition(partitions(spark), "path").mapInArrow(_scan, "path string, doc_id long, start long, n_tokens long, ids binary")
 
 
 def op6_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     shards = Kept(spark).table(write_tables(docs, new_path(spark, "sstables"), tokenizer_path()), "shards")
-    before = Window.orderBy("part", "n").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
-    offsets = shards.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
-    rows = read_tables(shards).select("path", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return rows.join(offsets, "path").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return read_tables(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
