@@ -95,6 +95,23 @@ class Forest:
         return a != b
 
 
+def _compare_few(sids: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[list, list, list]:
+    """Forest links of a few sets, each pair not yet joined compared as it is."""
+    forest, out = Forest(len(sids)), ([], [], [])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if num * max(len(a), len(b)) > den * min(len(a), len(b)) or forest.find(i) == forest.find(j):
+                continue
+            p = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            both = int((b[p] == a).sum())
+            if den * both >= num * (len(a) + len(b) - both) and forest.join(j, i):
+                out[0].append(sids[j])
+                out[1].append(sids[i])
+                out[2].append(0)
+    return out
+
+
 def _search_task(sids: list[int], sets: list[np.ndarray], copies: list[int], sides: list[int], num: int, den: int) -> tuple[list, list, list]:
     """Forest links (a, b, 0) and, for each set, (a, a, copies that its links reach)."""
     left = [i for i, s in enumerate(sides) if s != 1]
@@ -125,12 +142,19 @@ def stored(elements: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(e, dtype=np.uint64) for e in elements]
 
 
-def _run_tasks(num: int, den: int, decode):
+#: Groups of so few sets are compared pair by pair where only links are asked for.
+FEW = 6
+
+
+def _run_tasks(num: int, den: int, decode, reach: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, ([], [], [], [])
 
         def flush():
-            a, b, w = _search_task(held[0], decode(held[1]), *held[2:], num, den)
+            if not reach and len(held[0]) <= FEW and held[3][0] == 2:
+                a, b, w = _compare_few(held[0], decode(held[1]), num, den)
+            else:
+                a, b, w = _search_task(held[0], decode(held[1]), *held[2:], num, den)
             for x in held:
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.int64())], ["a", "b", "w"])
@@ -157,7 +181,8 @@ def links(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BL
     """All links inside candidate groups, as forest links plus reach.
 
     sets: (sid long, elements binary), made sets of by ``decode``; sizes: (sid, grp long, n long, copies long).
-    With ``sized``, n is a set's exact size, and sets too unlike in size are never compared.
+    With ``sized``, n is a set's exact size, sets too unlike in size are never compared, and reach is
+    returned; without, only links are.
     Returns (a, b, w): w = 0 for links (enough of them to keep everything connected that is
     linked), a = b and w > 0 for how many rows the links of ``a`` reach in one task.
     """
@@ -178,4 +203,4 @@ def links(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BL
     large = large.select("sid", "copies", F.explode(F.concat(own, up, down)).alias("s")).select("sid", "copies", "s.side", "s.task")
     tasks = small.union(large).join(sets, "sid")
     dealt = tasks.repartition(partitions(sets.sparkSession), "task").sortWithinPartitions("task", "side", "sid")
-    return dealt.select("task", "sid", "elements", "copies", "side").mapInArrow(_run_tasks(num, den, decode), LINK_SCHEMA)
+    return dealt.select("task", "sid", "elements", "copies", "side").mapInArrow(_run_tasks(num, den, decode, sized), LINK_SCHEMA)
