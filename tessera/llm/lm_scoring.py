@@ -1,10 +1,10 @@
 """Operator 3: cross-entropy difference between a target and a background n-gram model.
 
-Both models are interpolated bigram models over one vocabulary. Counts cover every word of
-every text. The vocabulary holds the words with at least 1 / VOCABULARY of the
-background's tokens, a model's pairs those with at least 1 / PAIRS of its tokens: shares,
-so that at most so many words and pairs exist at any size and a model may be broadcast.
-All else counts under one class of rare words, and as unigrams.
+Both models are interpolated bigram models over all words and pairs of all texts; none is
+dropped. Words with at least 1 / VOCABULARY of the background's tokens and pairs with at
+least 1 / PAIRS of a model's are broadcast with their counts: shares, so that at most so
+many exist at any size. Every other word or pair is seldom: its occurrences are dealt by
+word (or pair), counted where they meet, and their losses summed by document.
 """
 
 from __future__ import annotations
@@ -16,16 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._session import Kept, documents, prepare
-from tessera.llm._text import SPACED, buffers, lower, span_hashes, word_spans
+from tessera.llm._session import Kept, documents, partitions, prepare
+from tessera.llm._text import BASE, SPACED, buffers, lower, mix, span_hashes, word_spans
 from tessera.llm._text import pieces as runs
 
-#: Most words in the vocabulary and most pairs in either model, each the inverse of a least share.
+#: Most words and most pairs of either model that are broadcast, each the inverse of a least share.
 VOCABULARY, PAIRS = 100_000, 500_000
 #: Weight of the unigram model, as pseudo-counts of a history (Dirichlet smoothing).
 MU = 50.0
 #: Ids of target documents that are broadcast at most; more are joined.
 MOST_IDS = 1_000_000
+#: Stands before a row's first word; a word's fingerprint otherwise.
+MARK = np.uint64(0)
+#: Occurrences that are counted at once.
+TOGETHER = 200_000
+#: What a row carries with it to its losses' sum.
+ROW = np.dtype([("doc_id", "<i8"), ("named", "<i8"), ("n", "<i8"), ("t", "<f8"), ("b", "<f8")])
 
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +42,13 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), first
 
 
+def _follows(first: np.ndarray) -> np.ndarray:
+    """For each word: 1 where another of its row comes next."""
+    out = np.ones(first[-1], np.int64)
+    out[first[1:][np.diff(first) > 0] - 1] = 0
+    return out
+
+
 def _weights(batch: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(batch.column("target").cast(pa.int64())), np.diff(first))
 
@@ -44,31 +57,30 @@ class _Sums:
     """Counts by key, kept small by merging: what a task sends is one row for each of its keys."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray, target: np.ndarray) -> None:
-        self._put(keys, np.ones(len(keys), np.int64), target)
-
-    def _put(self, keys, n, t):
+    def add(self, keys: np.ndarray, *weights: np.ndarray) -> None:
         keys, at = np.unique(keys, return_inverse=True)
-        self.parts.append((keys, np.bincount(at, n, len(keys)).astype(np.int64), np.bincount(at, t, len(keys)).astype(np.int64)))
+        self.parts.append((keys, *(np.bincount(at, w, len(keys)).astype(np.int64) for w in weights)))
         self.held += len(keys)
 
     def merge(self) -> None:
         if len(self.parts) > 1:
             cols = [np.concatenate(c) for c in zip(*self.parts)]
             self.parts, self.held = [], 0
-            self._put(*cols)
+            self.add(*cols)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.merge()
-        for keys, n, t in self.parts:
+        for keys, *sums in self.parts:
             for i in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (keys.view(np.int64), n, t)], ["key", "n", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (keys.view(np.int64), *sums)], ["key", *COUNTS[: len(sums)]])
         self.parts, self.held = [], 0
 
 
+#: Occurrences in the background and in the target; of these, the ones that another word follows.
+COUNTS = ["n", "t", "h", "ht"]
 #: Distinct keys a counting task holds before it sends them on.
 HELD = 2_000_000
 
@@ -78,7 +90,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in runs(whole):
             hashes, first = _words(batch)
-            sums.add(hashes, _weights(batch, first))
+            t, follows = _weights(batch, first), _follows(first)
+            sums.add(hashes, np.ones_like(t), t, follows, t * follows)
+            rows = np.asarray(batch.column("target").cast(pa.int64()))[np.diff(first) > 0]
+            sums.add(np.full(len(rows), MARK), 0 * rows, 0 * rows, np.ones_like(rows), rows)
             if sums.held > HELD:
                 sums.merge()
                 if sums.held > HELD // 2:
@@ -103,14 +118,20 @@ def _pairs(hashes: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> tup
     return w, before * (len(vocabulary) + 2) + w
 
 
-def _count_pairs(shared):
+def _count_pairs(shared, rare: bool):
+    """With ``rare``, pairs with words outside the vocabulary count too, as pairs of one class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for whole in batches:
             for batch in runs(whole):
                 hashes, first = _words(batch)
-                _, pairs = _pairs(hashes, first, shared.value)
-                sums.add(pairs, _weights(batch, first))
+                w, pairs = _pairs(hashes, first, shared.value)
+                t = _weights(batch, first)
+                if not rare:
+                    own = (w > 0) & (pairs >= len(shared.value) + 2)
+                    pairs, t = pairs[own], t[own]
+                sums.add(pairs, np.ones_like(t), t)
                 if sums.held > HELD:
                     sums.merge()
                     if sums.held > HELD // 2:
@@ -156,7 +177,102 @@ def _score(shared):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> DataFrame:
+def _deal(shared):
+    """For each row: its losses of broadcast pairs and histories; for each other word: (key, sub, rid, aux).
+
+    A seldom word's key is itself and its sub the word before it, a frequent one's key is the pair.
+    aux: id of the word if frequent, whether another word follows, whether the row is of the target.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, known, losses, histories, _, _ = shared.value
+        for whole in batches:
+            for batch in runs(whole):
+                hashes, first = _words(batch)
+                n = np.diff(first)
+                w, pairs = _pairs(hashes, first, vocabulary)
+                before = pairs // (len(vocabulary) + 2)
+                there = np.zeros(len(w), bool)
+                at = np.zeros(len(w), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+                    there = known[at] == pairs
+                out = np.zeros(len(n), ROW)
+                ids = batch.column("doc_id")
+                out["doc_id"], out["named"], out["n"] = np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), n
+                for c, x, h in zip("tb", losses, histories):
+                    each = h[before] + (np.where(there, x[at], 0.0) if len(known) else 0.0)
+                    out[c] = np.diff(np.concatenate([[0.0], np.cumsum(each)])[first])
+                rid = np.asarray(batch.column("rid"))
+                zero, none = np.zeros(len(n), np.int64), np.full(len(n), -1, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(zero), pa.array(rid), pa.array(none), pa.array([x.tobytes() for x in out], pa.binary())], DEALT)
+                rest = np.flatnonzero(~there)
+                last = np.empty_like(hashes)
+                last[1:] = hashes[:-1]
+                last[first[:-1][n > 0]] = MARK
+                last, own, w, before = last[rest], hashes[rest], w[rest], before[rest]
+                key = np.where(w == 0, own, mix(mix(last * BASE) + own)).view(np.int64)
+                sub = np.where(w == 0, np.where(before > 0, before, last.view(np.int64)), 0)
+                aux = (w << 2 | _follows(first)[rest] << 1 | _weights(batch, first)[rest]).astype(np.int32)
+                rid = np.repeat(rid, n)[rest]
+                for i in range(0, len(rest), 100_000):
+                    part = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (key, sub, rid, aux)), pa.nulls(len(rid[part]), pa.binary())], DEALT)
+
+    return run
+
+
+DEALT = ["key", "sub", "rid", "aux", "row"]
+SUMMED = ["rid", "doc_id", "n", "copies", "t", "b"]
+
+
+def _meet(shared):
+    """From rows sorted by (key, sub): what each key's occurrences add to the losses of their rows."""
+
+    def losses(key, sub, rid, aux):
+        _, _, _, _, unigrams, sizes = shared.value
+        w, follows, target = aux >> 2, aux >> 1 & 1, aux & 1
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        other = new.copy()
+        other[1:] |= sub[1:] != sub[:-1]
+        word, pair = np.cumsum(new) - 1, np.cumsum(other) - 1
+        rids, at = np.unique(rid, return_inverse=True)
+        sums = []
+        for weight, p, size in zip((target, np.ones_like(target)), unigrams, sizes):
+            p = np.where(w > 0, p[w], (np.bincount(word, weight)[word] + 1.0) / size)
+            loss = -np.log(np.bincount(pair, weight)[pair] + MU * p)
+            loss += np.where((w == 0) & (follows > 0), np.log(np.bincount(word, weight * follows)[word] + MU), 0.0)
+            sums.append(np.bincount(at, loss, len(rids)))
+        m = len(rids)
+        return pa.RecordBatch.from_arrays([pa.array(rids), pa.nulls(m, pa.int64()), *(pa.array(np.zeros(m, np.int64)) for _ in range(2)), *map(pa.array, sums)], SUMMED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            cols = [np.asarray(batch.column(c)) for c in DEALT[:4]]
+            rows = cols[3] < 0
+            if rows.any():
+                r = np.frombuffer(b"".join(batch.column("row").drop_null().to_pylist()), ROW)
+                ids = pa.array(r["doc_id"], mask=r["named"] == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[2][rows]), ids, pa.array(r["n"]), pa.array(np.ones(len(r), np.int64)), pa.array(r["t"]), pa.array(r["b"])], SUMMED)
+                cols = [c[~rows] for c in cols]
+            held.append(cols)
+            size += len(cols[0])
+            if size >= TOGETHER:
+                cols = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
+                if cut:
+                    yield losses(*(c[:cut] for c in cols))
+                held = [[c[cut:] for c in cols]]
+                size = len(held[0][0])
+        if size:
+            yield losses(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, pairs: int | None = None) -> DataFrame:
     """Scores each row by mean loss under the target model less that under the background model.
 
     ``target_ids`` (doc_id) names the target documents; the background is every document.
@@ -164,6 +280,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     the more like the target. A row without words (null or empty text) has 0 tokens and null losses. Null doc_id is
     scored and never target; repeated rows count each; other columns are ignored; without target documents the
     target model is uniform; an empty table gives no rows.
+
+    Every word and pair counts. Only where ``vocabulary`` and ``pairs`` are given (both), the models are cut to
+    words and pairs of at least such a share, and all else is one class.
     """
     spark = prepare(docs.sparkSession)
     sc, kept = spark.sparkContext, Kept(spark)
@@ -171,20 +290,37 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("target")).where("doc_id is not null").distinct()
     ids = kept.table(ids, "target")
     marked = texts.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    sums = lambda f: marked.mapInArrow(f, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    words = kept.table(sums(_count_words), "words")
-    total, total_t = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("t")).first())
-    frequent = words.where(F.col("n") * vocabulary >= total).toArrow()  # at most ``vocabulary`` rows
-    frequent = {c: frequent.column(c).to_numpy() for c in ("key", "n", "t")}
+    sums = lambda f, cols: marked.mapInArrow(f, ", ".join(f"{c} long" for c in ("key", *cols))).groupBy("key").agg(*(F.sum(c).alias(c) for c in cols))
+    words = kept.table(sums(_count_words, COUNTS), "words")
+    total, total_t, distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("t"), F.count_if(F.col("n") > 0)).first())
+    frequent = words.where((F.col("n") * (vocabulary or VOCABULARY) >= total) & (F.col("n") > 0)).toArrow()  # at most that many rows
+    frequent = {c: frequent.column(c).to_numpy() for c in ("key", *COUNTS)}
     vocab = frequent["key"].astype(np.int64).view(np.uint64)
     order = np.argsort(vocab)
     vocab, frequent = vocab[order], {c: x[order] for c, x in frequent.items()}
-    bag = lambda c, n: np.concatenate([[n - frequent[c].sum()], frequent[c]]).astype(np.float64)
-    found = kept.table(sums(_count_pairs(sc.broadcast(vocab))), "pairs")
-    own = found.where((F.col("n") * pairs >= total) | ((F.col("t") * pairs >= total_t) & (F.col("t") > 0))).orderBy("key").toArrow()  # at most 2 * ``pairs`` rows
-    model = lambda c, n: Model(bag(c, n), n, own.column("key").to_numpy(), own.column(c).to_numpy())
-    shared = sc.broadcast((vocab, model("t", total_t), model("n", total)))
-    return texts.mapInArrow(_score(shared), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    found = kept.table(sums(_count_pairs(sc.broadcast(vocab), bool(vocabulary)), COUNTS[:2]), "pairs")
+    least = pairs or PAIRS
+    own = found.where((F.col("n") * least >= total) | ((F.col("t") * least >= total_t) & (F.col("t") > 0))).orderBy("key").toArrow()  # at most twice that many rows
+    own = {c: own.column(c).to_numpy() for c in ("key", "n", "t")}
+    scored = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    if vocabulary:
+        bag = lambda c, n: np.concatenate([[n - frequent[c].sum()], frequent[c]]).astype(np.float64)
+        model = lambda c, n: Model(bag(c, n), n, own["key"], own[c])
+        return texts.mapInArrow(_score(sc.broadcast((vocab, model("t", total_t), model("n", total)))), scored)
+    marks = words.where(F.col("key") == int(MARK)).agg(F.sum("ht"), F.sum("h")).first()
+    sizes = [n + distinct + 1.0 for n in (total_t, total)]
+    unigrams = [np.concatenate([[0.0], (frequent[c] + 1.0) / n]) for c, n in zip("tn", sizes)]
+    histories = [np.concatenate([[0.0], np.log(frequent[c] + MU), [np.log((x or 0) + MU)]]) for c, x in zip(("ht", "h"), marks)]
+    losses = [-np.log(own[c] + MU * p[own["key"] % (len(vocab) + 2)]) for c, p in zip("tn", unigrams)]
+    shared = sc.broadcast((vocab, own["key"], losses, histories, unigrams, sizes))
+    kept.drop_one(-1)
+    kept.drop_one(-1)  # pairs and words have been read
+    dealt = marked.withColumn("rid", F.xxhash64("doc_id", "text")).mapInArrow(_deal(shared), "key long, sub long, rid long, aux int, row binary")
+    met = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "sub").mapInArrow(_meet(shared), "rid long, doc_id long, n long, copies long, t double, b double")
+    rows = met.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in SUMMED[2:]))
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    means = rows.select("doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return means.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

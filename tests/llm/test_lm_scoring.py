@@ -53,6 +53,37 @@ def test_equals_brute_force(spark):
                 assert r.target_loss is r.background_loss is r.score is None
 
 
+def test_no_word_or_pair_is_dropped(spark, monkeypatch):
+    """Words and pairs far under the broadcast share keep their counts; null ids and repeated rows too."""
+    rows = [(i, t) for i, t in enumerate(texts())]
+    docs = frame(spark, [(i, t, "s") for i, t in [*rows, (None, "two words"), rows[12], rows[12]]])
+    target = docs.where("doc_id % 2 = 0 and doc_id > 10").select("doc_id")
+    want = brute([*rows, (-1, "two words"), rows[12], rows[12]], {i for i, _ in rows if i % 2 == 0 and i > 10}, 10**9, 10**9)
+    for vocabulary, pairs, together in ((100_000, 500_000, 200_000), (200, 500, 300), (1, 1, 7)):
+        for name, x in (("VOCABULARY", vocabulary), ("PAIRS", pairs), ("TOGETHER", together)):
+            monkeypatch.setattr(lm_scoring, name, x)
+        got = lm_scoring.cross_entropy_difference(docs, target).collect()
+        assert len(got) == len(rows) + 3 and sum(r.doc_id == 12 for r in got) == 3
+        for r in got:
+            n, t, b = want[-1 if r.doc_id is None else r.doc_id]
+            assert r.n_tokens == n
+            if n:
+                assert abs(r.target_loss - t) < 1e-9 and abs(r.background_loss - b) < 1e-9 and abs(r.score - (t - b)) < 1e-9
+            else:
+                assert r.target_loss is r.background_loss is r.score is None
+
+
+def test_seldom_words_of_a_larger_table(spark):
+    """One word in over 300,000: under any share that a bounded model would keep."""
+    rows = [(0, "a b " * 300_000), (1, "seldom words"), (2, "seldom a"), (3, "other words")]
+    want = brute(rows, {1}, 10**9, 10**9)
+    got = lm_scoring.cross_entropy_difference(frame(spark, [(i, t, "s") for i, t in rows]), spark.createDataFrame([(1,)], "doc_id long")).collect()
+    assert len(got) == 4
+    for r in got:
+        n, t, b = want[r.doc_id]
+        assert r.n_tokens == n and abs(r.target_loss - t) < 1e-9 and abs(r.background_loss - b) < 1e-9
+
+
 def test_joined_targets_no_target_and_empty(spark, monkeypatch):
     docs = frame(spark)
     ids = docs.where("doc_id < 20").select("doc_id")
