@@ -157,7 +157,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(num: int, den: int):
     """From rows sorted by (token, n, sid): forest links of the sets of a token that can link.
 
-    A token of more than GROUP sets links all neighbours in size, which is sound as well.
+    A token of more than GROUP sets links all neighbours in size, the first GROUP too, which is
+    sound as well: between two sets that can link, every step in size allows a link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,11 @@ def _near(num: int, den: int):
                 if t != token:
                     close()
                     token, loose = t, False
-                loose = loose or len(ns) >= GROUP
+                if not loose and len(ns) >= GROUP:
+                    loose = True
+                    out.update((sids[i + 1], sids[i]) for i in range(len(ns) - 1) if den * ns[i] >= num * ns[i + 1])
+                    for x in (ns, sids, vectors):
+                        del x[:-1]
                 if loose and ns and den * ns[-1] >= num * n:
                     out.add((sid, sids[-1]))
                 if loose and len(ns) > 1:

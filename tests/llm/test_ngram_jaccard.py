@@ -1,7 +1,10 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 from fixtures import frame, texts
 
+from tessera.llm import ngram_jaccard
 from tessera.llm.ngram_jaccard import jaccard_join, one_of_each
 
 
@@ -46,3 +49,17 @@ def test_null_ids_repeats_and_empty(spark):
     kept = one_of_each(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, None]
+
+
+def test_tokens_of_more_sets_than_a_group_holds(spark, monkeypatch):
+    """Of one token's sets, those on both sides of the border reach each other wherever their sizes allow it."""
+    monkeypatch.setattr(ngram_jaccard, "GROUP", 3)
+    # Sets 0 and 4 have like parts, those between fall in other parts: can_link joins none of the first three.
+    vectors = [np.roll([50] + [0] * 15, i % 4).astype(np.uint8).tobytes() for i in range(6)]
+    cols = [pa.array([7] * 6, pa.int64()), pa.array([50] * 6, pa.int64()), pa.array(range(6), pa.int64()), pa.array(vectors, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(cols, ["token", "n", "sid", "part"])
+    found = {frozenset(p) for b in ngram_jaccard._near(90, 100)(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))}
+    assert found >= {frozenset((i, i + 1)) for i in range(5)}
+    rows = list(enumerate(texts()))
+    docs = frame(spark, [(i, t, "s") for i, t in rows])
+    assert {tuple(r) for r in jaccard_join(docs, 2, 60, 100).collect()} == brute(rows, 2, 60)
