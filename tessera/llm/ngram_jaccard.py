@@ -263,10 +263,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component only the rows with the smallest doc_id stay.
+    """Pipeline stage, at 5 words and 0.8: of each component only the rows with the smallest doc_id stay.
 
     Rows that share a doc_id stand or fall together, and of wholly repeated rows one stays.
     Rows with null doc_id and rows without words have no links and stay.
     """
-    found = jaccard_join(docs, 3, 90, 100).where("component_id <> doc_id").select("doc_id").distinct()
+    found = jaccard_join(docs, 5, 80, 100).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").distinct().select(docs.columns)

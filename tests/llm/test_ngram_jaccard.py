@@ -63,3 +63,12 @@ def test_tokens_of_more_sets_than_a_group_holds(spark, monkeypatch):
     rows = list(enumerate(texts()))
     docs = frame(spark, [(i, t, "s") for i, t in rows])
     assert {tuple(r) for r in jaccard_join(docs, 2, 60, 100).collect()} == brute(rows, 2, 60)
+
+
+def test_stage_drops_copies_at_five_words_and_four_fifths(spark):
+    """Two words of 100 replaced: 86 / 106 of the 5-word shingles stay, and 92 / 104 of the 3-word ones."""
+    words = [f"w{i}" for i in range(100)]
+    near = [{30: "x", 60: "y"}.get(i, w) for i, w in enumerate(words)]
+    far = [{20: "x", 45: "y", 70: "z"}.get(i, w) for i, w in enumerate(words)]  # 81 / 111
+    docs = frame(spark, [(1, " ".join(words), "s"), (2, " ".join(near), "s"), (3, " ".join(far), "s")])
+    assert sorted(r.doc_id for r in one_of_each(spark, docs, "").collect()) == [1, 3]
