@@ -4,7 +4,9 @@ All rolling word k-gram hashes of all texts are joined to the positions of the t
 k-grams (a fixed table, broadcast). A hit votes for its diagonal, text position less
 template position. A phrase stands where one diagonal has a vote from each of the phrase's
 k-grams; a longer notice where neighbouring diagonals (words put in or left out shift
-them) together cover enough of the template, which is then verified.
+them) together cover enough of the template. Such a run of diagonals is only a candidate: its
+words are aligned with the template, which cuts out each span where the notice stands, and of
+templates that claim one span the best stays.
 """
 
 from __future__ import annotations
@@ -26,6 +28,13 @@ GAP = 8
 #: Share of a notice's k-grams that its span must hold.
 COVER = 0.6
 
+#: Words that make another license of a notice: one that is put in or left out is no small change.
+QUALIFIERS = frozenset("sharealike alike noncommercial commercial noderivatives noderivs derivatives derivs nc nd sa lesser library affero".split())
+#: Alignment: a word that matches, one replaced or left out, one put in.
+MATCH, MISS, EXTRA = 2.0, -1.0, -0.25
+#: Candidates (rows) that are broadcast at most; more are joined.
+MOST_CANDIDATES = 100_000
+
 #: Phrases with their labels (exact), from the contract.
 PHRASES = (
     ("under the mit license", "mit"),
@@ -88,9 +97,93 @@ def _all_grams(k: int):
     return run
 
 
+def _needed(words: list[str], label: str) -> list[int]:
+    """Places of the words that tell a template from its like: qualifiers, and the version that the label names."""
+    version = label.rsplit("-", 1)[-1]
+    return [i for i, w in enumerate(words) if w in QUALIFIERS or (version.isdigit() and w == version)]
+
+
+def align(words: list[str], template: list[str]) -> Iterator[tuple[float, int, list[int]]]:
+    """Best alignments of the whole template inside ``words`` that don't overlap, best first.
+
+    Yields score, the first word's place, and for each template word the place of its equal (-1: none).
+    """
+    m = len(template)
+    up = [(MISS * i, 0) for i in range(m + 1)]
+    ends, moves = [], []
+    for j, w in enumerate(words):
+        row, move = [(0.0, j + 1)], [0]
+        for i, t in enumerate(template, 1):
+            best, how = (up[i - 1][0] + (MATCH if w == t else MISS), up[i - 1][1] if i > 1 else j), 1
+            if up[i][0] + EXTRA > best[0]:
+                best, how = (up[i][0] + EXTRA, up[i][1]), 2
+            if row[i - 1][0] + MISS > best[0]:
+                best, how = (row[i - 1][0] + MISS, row[i - 1][1]), 3
+            row.append(best)
+            move.append(how)
+        up = row
+        moves.append(move)
+        ends.append((-row[m][0], j, row[m][1]))
+    used = np.zeros(len(words) + 1, bool)
+    for score, j, start in sorted(ends):
+        if score >= 0:
+            break
+        if used[min(start, j) : j + 1].any():
+            continue
+        used[min(start, j) : j + 1] = True
+        i, x, at = m, j, [-1] * m
+        while i and x >= 0:
+            how = moves[x][i]
+            if how == 1 and words[x] == template[i - 1]:
+                at[i - 1] = x
+            i, x = i - (how != 2), x - (how != 3)
+        yield -score, start, at
+
+
+def verify(words: list[str], candidates: list[tuple[int, int, int]], templates: list[tuple[list[str], str]], k: int, cover: float) -> list[tuple[str, int, int, float]]:
+    """(label, first word, last k-gram's start, cover) of the notices that stand where candidates (template, low, high) say."""
+    found = []
+    for n, low, high in candidates:
+        template, label = templates[n]
+        m, skip = len(template), max(0, low - len(template))
+        for score, _, at in align(words[skip : high + k + m], template):
+            share = sum(all(at[i + x] == at[i] + x >= x for x in range(k)) and at[i] >= 0 for i in range(m - k + 1)) / (m - k + 1)
+            if share < cover or any(at[i] < 0 for i in _needed(template, label)):
+                continue
+            places = [x + skip for x in at if x >= 0]
+            others = set(range(places[0], places[-1] + 1)).difference(places)
+            if not any(words[x] in QUALIFIERS for x in others):
+                found.append((score / m, score, places[0], places[-1], label, share))
+    kept: list[tuple] = []
+    for f in sorted(set(found), key=lambda f: (-f[1], -f[0], f[2], f[4])):
+        both = [(min(f[3], g[3]) - max(f[2], g[2]) + 1) / (min(f[3] - f[2], g[3] - g[2]) + 1) for g in kept]
+        if all(x <= 0.5 for x in both):
+            kept.append(f)
+    return [(label, a, b - k + 1, share) for _, _, a, b, label, share in kept]
+
+
+def _verify(templates: list[tuple[list[str], str]], k: int, cover: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in runs(whole, 1 << 21):
+                data, offsets = buffers(batch.column("text"))
+                data = lower(data)
+                starts, ends, first = word_spans(data, offsets, ALNUM)
+                raw, out = data.tobytes(), []
+                for i, (rid, found) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("found").to_pylist())):
+                    words = [raw[a:b].decode() for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])]
+                    out += [(rid, *f) for f in verify(words, [(c["template"], c["first_word"], c["last_word"]) for c in found], templates, k, cover)]
+                cols = list(zip(*out)) or [()] * 5
+                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["rid", "label", "first_word", "last_word", "cover"])
+
+    return run
+
+
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = K, gap: int = GAP, cover: float = COVER) -> tuple[DataFrame, DataFrame]:
     """(rows, spans). rows: rid, doc_id, n_words, one for each input row. spans: rid, label, exact,
     first_word, last_word (its last k-gram's start), cover (0 to 1), verified.
+    A notice's votes stand as spans too, not verified; verified are those cut out by alignment.
 
     rid is a 64-bit name of (doc_id, text); repeated rows share it. Null text has no words.
     """
@@ -109,8 +202,15 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = K, gap: int
     merged = votes.where(~F.col("exact")).withColumn("run", F.sum(apart.cast("int")).over(order))
     merged = merged.groupBy("rid", "template", "label", "size", "exact", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.min("low").alias("first_word"), F.max("high").alias("last_word"))
     share = F.col("n") / F.col("size")
-    fits = F.col("last_word") - F.col("first_word") <= 2 * F.col("size") + gap  # merged diagonals must still lie together
-    notice = merged.select("rid", "label", "exact", "first_word", "last_word", share.alias("cover"), (fits & (share >= cover)).alias("verified"))
+    merged = Kept(spark).table(merged.withColumn("cover", share), "runs")
+    voted = merged.select("rid", "label", "exact", "first_word", "last_word", "cover", F.lit(False).alias("verified"))
+    candidates = merged.where(F.col("cover") >= cover).groupBy("rid").agg(F.collect_list(F.struct("template", "first_word", "last_word")).alias("found"))
+    candidates = Kept(spark).table(candidates, "candidates")
+    few = candidates.count() <= MOST_CANDIDATES
+    suspects = texts.select("rid", "text").join(F.broadcast(candidates) if few else candidates, "rid").dropDuplicates(["rid"])
+    split = [(text.split(), label) for text, label in (*phrases, *notices)]
+    checked = suspects.mapInArrow(_verify(split, k, cover), "rid long, label string, first_word long, last_word long, cover double")
+    notice = voted.unionByName(checked.withColumns({"exact": F.lit(False), "verified": F.lit(True)}))
     return rows, phrase.unionByName(notice)
 
 

@@ -40,3 +40,16 @@ def test_equals_brute_force(spark):
     assert by[0].labels == "" and by[0].score == 0.0
     assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in got)
     assert license_scan.license_labels(frame(spark, [])).collect() == []
+
+
+def test_notices_are_verified_by_their_words(spark):
+    """Competing templates, other versions and qualifiers, and real notices within runs of stray votes."""
+    gpl3, gpl2, cc, sa, bsd = (license_scan.NOTICES[i][0] for i in (0, 1, 8, 9, 4))
+    stray = " ".join(f"{w} this work is licensed" for w in "abcdefghijklmnop")
+    rows = [
+        (gpl3, "gpl-3"), (gpl2, "gpl-2"), (cc, "cc-by"), (sa, "cc-by-sa"), (f"{gpl2}. {gpl3}", "gpl-2,gpl-3"), (gpl3.replace("version 3", "version 4"), ""),
+        (cc.replace("attribution", "attribution noncommercial"), ""), (gpl3.replace("general", "lesser general"), ""), (f"{stray} {gpl3} {stray}", "gpl-3"),
+        (" ".join(reversed(bsd.split())), ""), (cc.replace("4 0", "3 0"), "cc-by"), (f"{bsd} {bsd} {cc}", "bsd,cc-by"),
+    ]
+    got = license_scan.license_labels(frame(spark, [(i, t, "s") for i, (t, _) in enumerate(rows)])).collect()
+    assert {r.doc_id: r.labels for r in got} == {i: x for i, (_, x) in enumerate(rows)}
