@@ -1,10 +1,11 @@
 """Operator 3: cross-entropy difference between a target and a background n-gram model.
 
 Both models are interpolated bigram models over all words and pairs of all texts; none is
-dropped. Words with at least 1 / VOCABULARY of the background's tokens and pairs with at
-least 1 / PAIRS of a model's are broadcast with their counts: shares, so that at most so
-many exist at any size. Every other word or pair is seldom: its occurrences are dealt by
-word (or pair), counted where they meet, and their losses summed by document.
+dropped and nothing is broadcast. Rows are dealt to blocks of bounded size. A block sends its
+distinct words and pairs with its own counts, a compressed row for each part of the range of
+their fingerprints; where they meet, a part adds them up and answers each block with the
+whole table's counts in the order asked; then each block scores its rows. So a word
+or pair, however common, costs a number for each block, and the models grow with the input.
 """
 
 from __future__ import annotations
@@ -20,18 +21,15 @@ from tessera.llm._session import Kept, documents, partitions, prepare
 from tessera.llm._text import BASE, SPACED, buffers, lower, mix, span_hashes, word_spans
 from tessera.llm._text import pieces as runs
 
-#: Most words and most pairs of either model that are broadcast, each the inverse of a least share.
-VOCABULARY, PAIRS = 100_000, 500_000
+#: Bytes of a block's texts, at least and at most.
+SMALLEST, LARGEST = 1 << 24, 1 << 28
 #: Weight of the unigram model, as pseudo-counts of a history (Dirichlet smoothing).
 MU = 50.0
 #: Ids of target documents that are broadcast at most; more are joined.
 MOST_IDS = 1_000_000
 #: Stands before a row's first word; a word's fingerprint otherwise.
 MARK = np.uint64(0)
-#: Occurrences that are counted at once.
-TOGETHER = 200_000
-#: What a row carries with it to its losses' sum.
-ROW = np.dtype([("doc_id", "<i8"), ("named", "<i8"), ("n", "<i8"), ("t", "<f8"), ("b", "<f8")])
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +73,12 @@ class _Sums:
         self.merge()
         for keys, *sums in self.parts:
             for i in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (keys.view(np.int64), *sums)], ["key", *COUNTS[: len(sums)]])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (keys.view(np.int64), *sums)], ["key", *COUNTS])
         self.parts, self.held = [], 0
 
 
-#: Occurrences in the background and in the target; of these, the ones that another word follows.
-COUNTS = ["n", "t", "h", "ht"]
+#: Occurrences in the background and in the target.
+COUNTS = ["n", "t"]
 #: Distinct keys a counting task holds before it sends them on.
 HELD = 2_000_000
 
@@ -90,10 +88,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in runs(whole):
             hashes, first = _words(batch)
-            t, follows = _weights(batch, first), _follows(first)
-            sums.add(hashes, np.ones_like(t), t, follows, t * follows)
-            rows = np.asarray(batch.column("target").cast(pa.int64()))[np.diff(first) > 0]
-            sums.add(np.full(len(rows), MARK), 0 * rows, 0 * rows, np.ones_like(rows), rows)
+            t = _weights(batch, first)
+            sums.add(hashes, np.ones_like(t), t)
             if sums.held > HELD:
                 sums.merge()
                 if sums.held > HELD // 2:
@@ -118,8 +114,8 @@ def _pairs(hashes: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> tup
     return w, before * (len(vocabulary) + 2) + w
 
 
-def _count_pairs(shared, rare: bool):
-    """With ``rare``, pairs with words outside the vocabulary count too, as pairs of one class."""
+def _count_pairs(shared):
+    """Pairs with words outside the vocabulary count too, as pairs of one class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
@@ -128,9 +124,6 @@ def _count_pairs(shared, rare: bool):
                 hashes, first = _words(batch)
                 w, pairs = _pairs(hashes, first, shared.value)
                 t = _weights(batch, first)
-                if not rare:
-                    own = (w > 0) & (pairs >= len(shared.value) + 2)
-                    pairs, t = pairs[own], t[own]
                 sums.add(pairs, np.ones_like(t), t)
                 if sums.held > HELD:
                     sums.merge()
@@ -177,101 +170,195 @@ def _score(shared):
     return run
 
 
-def _deal(shared):
-    """For each row: its losses of broadcast pairs and histories; for each other word: (key, sub, rid, aux).
+def _pack(*columns: np.ndarray) -> bytes:
+    """64-bit columns, byte planes apart, compressed: small numbers and differences take little room."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return pa.compress(planes, codec="zstd", asbytes=True)
 
-    A seldom word's key is itself and its sub the word before it, a frequent one's key is the pair.
-    aux: id of the word if frequent, whether another word follows, whether the row is of the target.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known, losses, histories, _, _ = shared.value
-        for whole in batches:
-            for batch in runs(whole):
-                hashes, first = _words(batch)
-                n = np.diff(first)
-                w, pairs = _pairs(hashes, first, vocabulary)
-                before = pairs // (len(vocabulary) + 2)
-                there = np.zeros(len(w), bool)
-                at = np.zeros(len(w), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-                    there = known[at] == pairs
-                out = np.zeros(len(n), ROW)
-                ids = batch.column("doc_id")
-                out["doc_id"], out["named"], out["n"] = np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), n
-                for c, x, h in zip("tb", losses, histories):
-                    each = h[before] + (np.where(there, x[at], 0.0) if len(known) else 0.0)
-                    out[c] = np.diff(np.concatenate([[0.0], np.cumsum(each)])[first])
-                rid = np.asarray(batch.column("rid"))
-                zero, none = np.zeros(len(n), np.int64), np.full(len(n), -1, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(zero), pa.array(rid), pa.array(none), pa.array([x.tobytes() for x in out], pa.binary())], DEALT)
-                rest = np.flatnonzero(~there)
-                last = np.empty_like(hashes)
-                last[1:] = hashes[:-1]
-                last[first[:-1][n > 0]] = MARK
-                last, own, w, before = last[rest], hashes[rest], w[rest], before[rest]
-                key = np.where(w == 0, own, mix(mix(last * BASE) + own)).view(np.int64)
-                sub = np.where(w == 0, np.where(before > 0, before, last.view(np.int64)), 0)
-                aux = (w << 2 | _follows(first)[rest] << 1 | _weights(batch, first)[rest]).astype(np.int32)
-                rid = np.repeat(rid, n)[rest]
-                for i in range(0, len(rest), 100_000):
-                    part = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (key, sub, rid, aux)), pa.nulls(len(rid[part]), pa.binary())], DEALT)
+def _unpack(packed: bytes, rows: int, columns: int) -> list[np.ndarray]:
+    """The columns of ``_pack``, as signed numbers."""
+    planes = np.frombuffer(pa.decompress(packed, rows * columns * 8, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, rows)
+    return [np.ascontiguousarray(c.T).reshape(-1).view(np.int64) for c in planes]
 
-    return run
 
+def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of each weight."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    first = np.flatnonzero(new)
+    return sorted_[first], *(np.add.reduceat(w[order], first) for w in weights)
 
-DEALT = ["key", "sub", "rid", "aux", "row"]
-SUMMED = ["rid", "doc_id", "n", "copies", "t", "b"]
 
+class _Block:
+    """The words of a block's rows: rows come one batch after the other, keys are asked for at the end."""
 
-def _meet(shared):
-    """From rows sorted by (key, sub): what each key's occurrences add to the losses of their rows."""
+    def __init__(self):
+        self.hashes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.targets: list[np.ndarray] = []
+        self.ids: list[pa.Array] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for piece in runs(batch):
+            hashes, first = _words(piece)
+            self.hashes.append(hashes)
+            self.counts.append(np.diff(first))
+            self.targets.append(np.asarray(piece.column("target").cast(pa.int64()).fill_null(0)))
+            self.ids.append(piece.column("doc_id"))
+
+    def close(self) -> None:
+        self.n = np.concatenate(self.counts)
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.words = np.concatenate(self.hashes)
+        self.starts = self.first[:-1][self.n > 0]
+        self.before = np.empty_like(self.words)
+        self.before[1:] = self.words[:-1]
+        self.before[self.starts] = MARK
+        self.pairs = mix(mix(self.before * BASE) + self.words)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], _Block]]:
+    """From rows in order of block: (block, its answers, its texts)."""
+    block, answers, texts = None, [], _Block()
+    for whole in batches:
+        ids = np.asarray(whole.column("block"))
+        for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))([0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)] if len(ids) else [0])):
+            if ids[a] != block and block is not None:
+                yield block, answers, texts
+                answers, texts = [], _Block()
+            block, rows = int(ids[a]), whole.slice(a, b - a)
+            kind = np.asarray(rows.column("kind"))
+            asked = int(np.searchsorted(kind, 1))
+            answers += zip(*(rows.column(c).slice(0, asked).to_pylist() for c in ANSWER))
+            if asked < len(rows):
+                texts.add(rows.slice(asked))
+    if block is not None:
+        yield block, answers, texts
+
+
+#: A row from or to a block about the keys of one part of their range: words and pairs apart.
+ANSWER = ["n_words", "words", "n_pairs", "pairs"]
+ASKED = ["block", "part", *ANSWER]
 
-    def losses(key, sub, rid, aux):
-        _, _, _, _, unigrams, sizes = shared.value
-        w, follows, target = aux >> 2, aux >> 1 & 1, aux & 1
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        other = new.copy()
-        other[1:] |= sub[1:] != sub[:-1]
-        word, pair = np.cumsum(new) - 1, np.cumsum(other) - 1
-        rids, at = np.unique(rid, return_inverse=True)
-        sums = []
-        for weight, p, size in zip((target, np.ones_like(target)), unigrams, sizes):
-            p = np.where(w > 0, p[w], (np.bincount(word, weight)[word] + 1.0) / size)
-            loss = -np.log(np.bincount(pair, weight)[pair] + MU * p)
-            loss += np.where((w == 0) & (follows > 0), np.log(np.bincount(word, weight * follows)[word] + MU), 0.0)
-            sums.append(np.bincount(at, loss, len(rids)))
-        m = len(rids)
-        return pa.RecordBatch.from_arrays([pa.array(rids), pa.nulls(m, pa.int64()), *(pa.array(np.zeros(m, np.int64)) for _ in range(2)), *map(pa.array, sums)], SUMMED)
+
+def _ask(parts: int):
+    """Each block's distinct words and pairs with its own counts, one row for each part of the range of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            cols = [np.asarray(batch.column(c)) for c in DEALT[:4]]
-            rows = cols[3] < 0
-            if rows.any():
-                r = np.frombuffer(b"".join(batch.column("row").drop_null().to_pylist()), ROW)
-                ids = pa.array(r["doc_id"], mask=r["named"] == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[2][rows]), ids, pa.array(r["n"]), pa.array(np.ones(len(r), np.int64)), pa.array(r["t"]), pa.array(r["b"])], SUMMED)
-                cols = [c[~rows] for c in cols]
-            held.append(cols)
-            size += len(cols[0])
-            if size >= TOGETHER:
-                cols = [np.concatenate(c) for c in zip(*held)]
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
-                if cut:
-                    yield losses(*(c[:cut] for c in cols))
-                held = [[c[cut:] for c in cols]]
-                size = len(held[0][0])
-        if size:
-            yield losses(*(np.concatenate(c) for c in zip(*held)))
+        for block, _, texts in _blocks(batches):
+            texts.close()
+            if not len(texts.words):
+                continue
+            t = np.repeat(np.concatenate(texts.targets), texts.n)
+            one, follows = np.ones_like(t), _follows(texts.first)
+            rows = t[texts.starts]
+            words = _summed(np.concatenate([texts.words, np.full(len(rows), MARK)]), *map(np.concatenate, ((one, np.ones_like(rows)), (t, rows), (1 - follows, 0 * rows), ((1 - follows) * t, 0 * rows))))
+            pairs = _summed(texts.pairs, one, t)
+            borders = np.array([p * (2**64 // parts) for p in range(1, parts)], np.uint64)
+            cuts = [np.concatenate([[0], np.searchsorted(c[0], borders), [len(c[0])]]) for c in (words, pairs)]
+            for part in range(parts):
+                row = [block, part]
+                for columns, cut in zip((words, pairs), cuts):
+                    keys, *counts = (c[cut[part] : cut[part + 1]] for c in columns)
+                    row += [len(keys), _pack(np.diff(keys, prepend=np.uint64(0)), *counts)]
+                if row[2] or row[4]:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))], ASKED)
 
     return run
 
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``_ask``'s rows in order of part: to each the whole table's counts of its keys, and each part's totals once."""
+
+    def out(rows):
+        columns, totals = [], None
+        for at, width in ((2, 5), (4, 3)):
+            asked = [_unpack(r[at + 1], r[at], width) for r in rows]
+            keys = np.concatenate([np.cumsum(a[0].view(np.uint64), dtype=np.uint64) for a in asked])
+            distinct, *sums = _summed(keys, *(np.concatenate(c) for c in list(zip(*asked))[1:])) if len(keys) else (keys,)
+            if totals is None:
+                word = distinct != MARK
+                totals = [int(s[word].sum()) for s in sums[:2]] + [int(word.sum())] if sums else [0, 0, 0]
+            place, answers = np.searchsorted(distinct, keys), []
+            for a in asked:
+                m, place = place[: len(a[0])], place[len(a[0]) :]
+                answers.append(_pack(*(s[m] for s in sums)) if sums else b"")
+            columns.append(answers)
+        for i, r in enumerate(rows):
+            values = [r[0], r[1], r[2], columns[0][i], r[4], columns[1][i], *(totals if i == 0 else (0, 0, 0))]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), *[pa.int64()] * 3))], [*ASKED, "total", "total_t", "distinct"])
+
+    part, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ASKED)):
+            if row[1] != part and held:
+                yield from out(held)
+                held = []
+            part = row[1]
+            held.append(row)
+    if held:
+        yield from out(held)
+
+
+def _losses(total: int, total_t: int, distinct: int):
+    """From texts and answers in order of block: each row's mean losses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, answers, texts in _blocks(batches):
+            texts.close()
+            n, sums = texts.n, []
+            if len(texts.words):
+                keys, w = np.unique(np.concatenate([[MARK], texts.words]), return_inverse=True)
+                pairs, p = np.unique(texts.pairs, return_inverse=True)
+                counts = [list(map(np.concatenate, zip(*(_unpack(a[at + 1], a[at], width) for a in answers if a[at])))) for at, width in ((0, 4), (2, 2))]
+                if len(counts[0][0]) != len(keys) or len(counts[1][0]) != len(pairs):
+                    raise RuntimeError("a block's texts are not those that its words were counted of")
+                w, mark = w[1:], w[0]
+                before = np.empty_like(w)
+                before[1:] = w[:-1]
+                before[texts.starts] = mark
+                for own, size in ((1, total_t), (0, total)):
+                    unigram = (counts[0][own] + 1.0) / (size + distinct + 1.0)
+                    history = np.log(counts[0][own] - counts[0][own + 2] + MU)
+                    each = history[before] - np.log(counts[1][own][p] + MU * unigram[w])
+                    sums.append(np.diff(np.concatenate([[0.0], np.cumsum(each)])[texts.first]))
+            else:
+                sums = [np.zeros(len(n))] * 2
+            means = [np.where(n > 0, s / np.maximum(n, 1), np.nan) for s in sums]
+            cols = [pa.concat_arrays(texts.ids), pa.array(n), *(pa.array(x, mask=n == 0) for x in (*means, means[0] - means[1]))]
+            for i in range(0, len(n), 10_000):
+                yield pa.RecordBatch.from_arrays([c.slice(i, 10_000) for c in cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return run
+
+
+def blocks(n_bytes: int) -> int:
+    """How many blocks texts of so many bytes make: 16 MB each up to a GB, then growing by the square root up to 256 MB."""
+    return max(1, -(-n_bytes // int(min(LARGEST, max(SMALLEST, (n_bytes * (1 << 18)) ** 0.5)))))
+
+
+def _cut(texts: DataFrame, marked: DataFrame, kept: Kept, vocabulary: int, pairs: int) -> DataFrame:
+    """Scores by models of frequent words and pairs alone, which are broadcast."""
+    sc = texts.sparkSession.sparkContext
+    sums = lambda f, cols: marked.mapInArrow(f, ", ".join(f"{c} long" for c in ("key", *cols))).groupBy("key").agg(*(F.sum(c).alias(c) for c in cols))
+    words = kept.table(sums(_count_words, COUNTS), "words")
+    total, total_t = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("t")).first())
+    frequent = words.where(F.col("n") * vocabulary >= total).orderBy("key").toArrow()  # at most that many rows
+    frequent = {c: frequent.column(c).to_numpy() for c in ("key", *COUNTS)}
+    order = np.argsort(frequent["key"].view(np.uint64))
+    frequent = {c: x[order] for c, x in frequent.items()}
+    vocab = frequent["key"].view(np.uint64)
+    found = kept.table(sums(_count_pairs(sc.broadcast(vocab)), COUNTS), "pairs")
+    own = found.where((F.col("n") * pairs >= total) | ((F.col("t") * pairs >= total_t) & (F.col("t") > 0))).orderBy("key").toArrow()  # at most twice that many rows
+    own = {c: own.column(c).to_numpy() for c in ("key", *COUNTS)}
+    bag = lambda c, n: np.concatenate([[n - frequent[c].sum()], frequent[c]]).astype(np.float64)
+    model = lambda c, n: Model(bag(c, n), n, own["key"], own[c])
+    return texts.mapInArrow(_score(sc.broadcast((vocab, model("t", total_t), model("n", total)))), SCORED)
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, pairs: int | None = None) -> DataFrame:
     """Scores each row by mean loss under the target model less that under the background model.
 
@@ -281,46 +368,30 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     scored and never target; repeated rows count each; other columns are ignored; without target documents the
     target model is uniform; an empty table gives no rows.
 
-    Every word and pair counts. Only where ``vocabulary`` and ``pairs`` are given (both), the models are cut to
-    words and pairs of at least such a share, and all else is one class.
+    Every word and pair counts, by 64-bit fingerprint. Only where ``vocabulary`` and ``pairs`` are given (both), the
+    models are cut to words and pairs of at least such a share (1 / vocabulary, 1 / pairs), and all else is one class.
+    A text of any length is one row of one block. Wholly repeated rows meet in one block.
     """
     spark = prepare(docs.sparkSession)
-    sc, kept = spark.sparkContext, Kept(spark)
+    kept = Kept(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("target")).where("doc_id is not null").distinct()
     ids = kept.table(ids, "target")
     marked = texts.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    sums = lambda f, cols: marked.mapInArrow(f, ", ".join(f"{c} long" for c in ("key", *cols))).groupBy("key").agg(*(F.sum(c).alias(c) for c in cols))
-    words = kept.table(sums(_count_words, COUNTS), "words")
-    total, total_t, distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("t"), F.count_if(F.col("n") > 0)).first())
-    frequent = words.where((F.col("n") * (vocabulary or VOCABULARY) >= total) & (F.col("n") > 0)).toArrow()  # at most that many rows
-    frequent = {c: frequent.column(c).to_numpy() for c in ("key", *COUNTS)}
-    vocab = frequent["key"].astype(np.int64).view(np.uint64)
-    order = np.argsort(vocab)
-    vocab, frequent = vocab[order], {c: x[order] for c, x in frequent.items()}
-    found = kept.table(sums(_count_pairs(sc.broadcast(vocab), bool(vocabulary)), COUNTS[:2]), "pairs")
-    least = pairs or PAIRS
-    own = found.where((F.col("n") * least >= total) | ((F.col("t") * least >= total_t) & (F.col("t") > 0))).orderBy("key").toArrow()  # at most twice that many rows
-    own = {c: own.column(c).to_numpy() for c in ("key", "n", "t")}
-    scored = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    if vocabulary:
-        bag = lambda c, n: np.concatenate([[n - frequent[c].sum()], frequent[c]]).astype(np.float64)
-        model = lambda c, n: Model(bag(c, n), n, own["key"], own[c])
-        return texts.mapInArrow(_score(sc.broadcast((vocab, model("t", total_t), model("n", total)))), scored)
-    marks = words.where(F.col("key") == int(MARK)).agg(F.sum("ht"), F.sum("h")).first()
-    sizes = [n + distinct + 1.0 for n in (total_t, total)]
-    unigrams = [np.concatenate([[0.0], (frequent[c] + 1.0) / n]) for c, n in zip("tn", sizes)]
-    histories = [np.concatenate([[0.0], np.log(frequent[c] + MU), [np.log((x or 0) + MU)]]) for c, x in zip(("ht", "h"), marks)]
-    losses = [-np.log(own[c] + MU * p[own["key"] % (len(vocab) + 2)]) for c, p in zip("tn", unigrams)]
-    shared = sc.broadcast((vocab, own["key"], losses, histories, unigrams, sizes))
-    kept.drop_one(-1)
-    kept.drop_one(-1)  # pairs and words have been read
-    dealt = marked.withColumn("rid", F.xxhash64("doc_id", "text")).mapInArrow(_deal(shared), "key long, sub long, rid long, aux int, row binary")
-    met = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "sub").mapInArrow(_meet(shared), "rid long, doc_id long, n long, copies long, t double, b double")
-    rows = met.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in SUMMED[2:]))
-    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
-    means = rows.select("doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return means.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    if vocabulary and pairs:
+        return _cut(texts, marked, kept, vocabulary, pairs)
+    n = blocks(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")
+    no_answer = [F.lit(None).cast(t).alias(c) for c, t in zip(ANSWER, ("int", "binary", "int", "binary"))]
+    width = max(n, partitions(spark))
+    dealt = marked.select(block, F.lit(1).alias("kind"), "doc_id", "text", "target", *no_answer).repartition(width, "block").sortWithinPartitions("block")
+    asked = dealt.mapInArrow(_ask(n), "block long, part int, n_words int, words binary, n_pairs int, pairs binary")
+    met = asked.repartition(width, "part").sortWithinPartitions("part").mapInArrow(_answer, "block long, part int, n_words int, words binary, n_pairs int, pairs binary, total long, total_t long, distinct long")
+    answers = kept.table(met, "answers")
+    totals = [int(x or 0) for x in answers.agg(F.sum("total"), F.sum("total_t"), F.sum("distinct")).first()]
+    rows = texts.select(block, F.lit(1).alias("kind"), F.lit(0).alias("part"), "doc_id", "text", F.lit(False).alias("target"), *no_answer)
+    both = rows.union(answers.select("block", F.lit(0), "part", F.lit(None), F.lit(None), F.lit(None), *ANSWER)).repartition(width, "block").sortWithinPartitions("block", "kind", "part")
+    return both.mapInArrow(_losses(*totals), SCORED)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
