@@ -2,8 +2,8 @@
 
 1. Texts become token ids and pieces; only the histogram of piece lengths (at most
    ``seq_len`` numbers) reaches the driver.
-2. Patterns of two or three lengths that fill a sequence exactly are enumerated; repeat
-   counts are fitted to the histogram by non-negative least squares and rounded.
+2. Patterns of two or three lengths that fill a sequence exactly, or of two that nearly do, are
+   enumerated; repeat counts are fitted to the histogram by non-negative least squares and rounded.
 3. What the rounded patterns leave over is packed best-fit decreasing, histogram-wise.
 4. Pieces get their rank within their length from two-level counts (no length, however
    common, meets in one task) and take their place in the plan by that rank.
@@ -27,8 +27,12 @@ SEQ_LEN, END_ID = 1024, 2
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def patterns(present: np.ndarray, seq_len: int) -> np.ndarray:
-    """All a <= b <= c (a may be 0) of lengths present with a + b + c = seq_len."""
+#: Pattern sets that are fitted: most room a pattern of two may leave, and whether each must hold a piece over half a sequence.
+FITS = ((0, False), (0, True), (6, True))
+
+
+def patterns(present: np.ndarray, seq_len: int, room: int = 0) -> np.ndarray:
+    """All a <= b <= c (a may be 0) of lengths present with a + b + c = seq_len, and b + c from seq_len - room."""
     there = np.zeros(seq_len + 1, dtype=bool)
     there[present] = True
     there[0] = True
@@ -37,6 +41,10 @@ def patterns(present: np.ndarray, seq_len: int) -> np.ndarray:
         b = np.arange(max(a, 1), (seq_len - a) // 2 + 1)
         b = b[there[b] & there[seq_len - a - b]]
         out.append(np.stack([np.full(len(b), a), b, seq_len - a - b], axis=1))
+    for total in range(max(2, seq_len - room), seq_len):
+        b = np.arange(1, total // 2 + 1)
+        b = b[there[b] & there[total - b]]
+        out.append(np.stack([np.zeros(len(b), np.int64), b, total - b], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
@@ -111,27 +119,29 @@ def best_fit(counts: np.ndarray, seq_len: int) -> list[tuple[tuple[int, ...], in
 def plan(counts: np.ndarray, seq_len: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence's pieces, number of such sequences); counts[l]: pieces of length l.
 
-    The work depends on seq_len alone. The fitted plan is held against plain best fit
-    and the smaller of both is taken.
+    The work depends on seq_len alone. Full pieces are a pattern of their own. The repeats of the other
+    patterns are fitted and rounded, and what they leave over is packed best fit; this is done
+    for each of FITS, and the plan with the fewest sequences is taken.
     """
-    counts = counts.copy()
-    plain = best_fit(counts, seq_len)
-    columns = patterns(np.flatnonzero(counts[:seq_len]), seq_len)
-    out = []
-    if len(columns):
-        x = fit_repeats(columns, np.where(np.arange(len(counts)) < seq_len, counts, 0))
+    full = [((seq_len,), int(counts[seq_len]))] if counts[seq_len] else []
+    plans = []
+    for room, long in FITS:
+        left, out = np.where(np.arange(len(counts)) < seq_len, counts, 0), []
+        columns = patterns(np.flatnonzero(left), seq_len, room)
+        columns = columns[columns[:, 2] > seq_len // 2] if long else columns
+        x = fit_repeats(columns, left) if len(columns) else np.zeros(0)
         for i in np.argsort(-x, kind="stable"):
             n = int(x[i] + 0.5)
             if not n:
                 break
             lengths = [int(v) for v in columns[i] if v]
-            n = min([n, *(int(counts[v]) // lengths.count(v) for v in lengths)])
+            n = min([n, *(int(left[v]) // lengths.count(v) for v in lengths)])
             if n > 0:
                 out.append((tuple(lengths), n))
                 for v in lengths:
-                    counts[v] -= n
-    out += best_fit(counts, seq_len)
-    return min(out, plain, key=lambda p: sum(n for _, n in p))
+                    left[v] -= n
+        plans.append(full + out + best_fit(left, seq_len))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def _cut(path: str, seq_len: int, end_id: int, cache: int):
@@ -233,5 +243,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all that is left, with their places."""
+    """Pipeline stage: the pieces of all that is left, with their places.
+
+    Null text is one piece with the end id alone, null doc_id stays, each of repeated rows is packed, other columns
+    are left out, an empty table gives no rows.
+    """
     return pack(docs, tokenizer_path(), digest=True, cache=SMALL_CACHE)
