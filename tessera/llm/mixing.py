@@ -5,8 +5,9 @@ the whole part as it is, the fractional part as an inclusion probability. The cu
 moves these probabilities through the null space of the constraints (number of documents
 and number of words) until they are 0 or 1, so that both totals of a source stay
 where they should be. Flights run in buckets of bounded size at the same time; the two
-documents or so that each leaves undecided go on to the next level, until one bucket for
+smallest documents or so that each leaves undecided go on to the next level, until one bucket for
 each source is left, whose last two land by giving up the constraints one after the other.
+A flight settles the largest document first and spreads what that changes over all others.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._session import Kept, documents, prepare
+from tessera.llm._session import Kept, documents, partitions, prepare
 
 GAPS = r"[\x20\x09-\x0D]+"
 #: Documents of a source that fly together.
@@ -56,69 +57,76 @@ def _direction(a: list[tuple[float, float]]) -> tuple[float, float, float]:
     return u if max(map(abs, u)) > 0 else (m2, -m1, 0.0)
 
 
-def _step(p: list[float], u, rng) -> list[float]:
+def _step(p: np.ndarray, u: np.ndarray, rng) -> np.ndarray:
     """Moves p along u or against it, up to a face of the cube, without changing its expectation."""
-    up = down = np.inf
-    for x, v in zip(p, u):
-        if v > 0:
-            up, down = min(up, (1 - x) / v), min(down, x / v)
-        elif v < 0:
-            up, down = min(up, x / -v), min(down, (1 - x) / -v)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(u > 0, (1 - p) / u, np.where(u < 0, p / -u, np.inf)).min()
+        down = np.where(u > 0, p / u, np.where(u < 0, (1 - p) / -u, np.inf)).min()
     by = up if rng.random() * (up + down) < down else -down
-    return [min(1.0, max(0.0, x + by * v)) for x, v in zip(p, u)]
+    return np.clip(p + by * u, 0.0, 1.0)
+
+
+def _spread(p: np.ndarray, a: np.ndarray) -> np.ndarray | None:
+    """A direction that moves the first unit and makes up for it by all others, those about half taken most."""
+    w = p[1:] * (1 - p[1:])
+    rest = a[:, 1:]
+    m = (rest * w) @ rest.T
+    if abs(np.linalg.det(m)) <= 1e-9 * m[0, 0] * m[1, 1]:
+        return None  # the others are of one size
+    return np.concatenate([[1.0], w * (-np.linalg.solve(m, a[:, 0]) @ rest)])
 
 
 def fly(p: np.ndarray, count: np.ndarray, size: np.ndarray, seed: int, land: bool) -> np.ndarray:
-    """Probabilities after the flight: all but two or so are 0 or 1, with ``land`` all of them.
+    """Probabilities after the flight: all but two are 0 or 1, with ``land`` all of them.
 
-    count and size (both of all repeats of a unit) are what is balanced.
+    count and size (both of all repeats of a unit) are what is balanced. The largest unit is settled
+    first, while there are others to make up for it; the last are the smallest.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     p = p.astype(float).copy()
-    pool: list[int] = []
     scale = max(1.0, float(size.max())) if len(size) else 1.0
-    a = list(zip(count.astype(float).tolist(), (size / scale).tolist()))
-    waiting = iter(np.flatnonzero((p > _EPS) & (p < 1 - _EPS)).tolist())
-
-    def settle(units, values):
-        for i, v in zip(units, values):
-            p[i] = 0.0 if v < _EPS else 1.0 if v > 1 - _EPS else v
-        return [i for i in units if 0.0 < p[i] < 1.0]
-
-    for i in waiting:
-        pool.append(i)
-        if len(pool) == 3:
-            pool = settle(pool, _step([p[j] for j in pool], _direction([a[j] for j in pool]), rng))
-    while land and pool:
-        u = (a[pool[1]][0], -a[pool[0]][0]) if len(pool) > 1 else (1.0,)
-        pool = settle(pool[:2], _step([p[j] for j in pool[:2]], u, rng)) + pool[2:]
+    a = np.stack([count.astype(float), size / scale])
+    left = np.argsort(-size, kind="stable")
+    left = left[(p[left] > _EPS) & (p[left] < 1 - _EPS)]
+    while len(left) > (0 if land else 2):
+        u = _spread(p[left], a[:, left]) if len(left) > 3 else None
+        units = left if u is not None else left[-3:]
+        if u is None and len(units) == 3:
+            u = np.array(_direction([tuple(x) for x in a[:, units].T]))
+        elif u is None:
+            u = np.array([a[0, units[1]], -a[0, units[0]]] if len(units) == 2 else [1.0])
+        moved = _step(p[units], u, rng)
+        p[units] = np.where(moved < _EPS, 0.0, np.where(moved > 1 - _EPS, 1.0, moved))
+        left = left[(p[left] > 0.0) & (p[left] < 1.0)]
     return p
 
 
 def _flight(land: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rid", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["rid", "rid2"], kind="stable").reset_index(drop=True)
         seed = int(np.bitwise_xor.reduce(pdf.rid.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         p = fly(pdf.p.to_numpy(), pdf.m.to_numpy(), (pdf.m * pdf["size"]).to_numpy(float), seed, land)
-        return pdf[["rid", "src", "size", "m"]].assign(p=p)
+        return pdf[["rid", "rid2", "src", "size", "m"]].assign(p=p)
 
     return run
 
 
 def choose(units: DataFrame, kept: Kept, bucket: int = BUCKET) -> DataFrame:
-    """units (rid, src, size, m, p) -> (rid, pick 0 or 1), balanced within each src.
+    """units (rid, rid2, src, size, m, p) -> (rid, rid2, pick 0 or 1), balanced within each src.
 
-    Bucket and order follow from rid alone, so that reruns agree however rows are dealt.
+    Bucket and order follow from the units alone, so that reruns agree however rows are dealt. Buckets
+    are dealt by source and bucket: a source, however large, is spread over all tasks.
     """
     done = None
-    schema = "rid long, src int, size long, m long, p double"
+    schema = "rid long, rid2 long, src int, size long, m long, p double"
     level = 0
     while True:
         cuts = units.groupBy("src").agg(F.ceil(F.count("*") / bucket).cast("long").alias("cuts"))
         most = cuts.agg(F.max("cuts")).first()[0] or 0
         dealt = units.join(cuts, "src").withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), "rid"), F.col("cuts")))
+        dealt = dealt.repartition(partitions(units.sparkSession), "src", "bucket")
         out = kept.table(dealt.groupBy("src", "bucket").applyInPandas(_flight(most <= 1), schema), "flown")
-        settled = out.where("p = 0 or p = 1").select("rid", F.col("p").cast("int").alias("pick"))
+        settled = out.where("p = 0 or p = 1").select("rid", "rid2", F.col("p").cast("int").alias("pick"))
         done = settled if done is None else done.union(settled)
         if most <= 1:
             return done
@@ -126,12 +134,13 @@ def choose(units: DataFrame, kept: Kept, bucket: int = BUCKET) -> DataFrame:
 
 
 def keyed(docs: DataFrame, name: str = "rid") -> DataFrame:
-    """Adds a 64-bit name of a row's doc_id, source and text."""
-    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
+    """Adds a 128-bit name of a row's doc_id, source and text, as two columns."""
+    row = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")]
+    return docs.withColumns({name: F.xxhash64(*row), f"{name}2": F.xxhash64(F.lit("second"), *row)})
 
 
 def mix(docs: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken, rid.
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken, rid, rid2.
 
     size: words of the text (null text: 0); copies: how often the mix takes the row (0 to
     ``most``), taken = copies * size. Null source is a source of its own, the last. A source
@@ -141,16 +150,17 @@ def mix(docs: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
     spark = prepare(docs.sparkSession)
     kept = Kept(spark)
     size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAPS), "")).cast("long")
-    rows = kept.table(keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))).select("rid", "doc_id", "source", size.alias("size")), "sizes")
+    rows = kept.table(keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))).select("rid", "rid2", "doc_id", "source", size.alias("size")), "sizes")
     shares = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     shares = shares.withColumn("src", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shares = kept.table(shares.withColumn("whole", F.floor(ratio + _EPS).cast("int")).withColumn("p", F.greatest(F.lit(0.0), ratio - F.col("whole"))), "shares")
     sized = rows.join(shares, rows.source.eqNullSafe(shares.source)).drop(shares.source)
-    units = sized.where(F.col("p") > _EPS).groupBy("rid", "src", "size", "p").agg(F.count("*").alias("m")).select("rid", "src", "size", "m", "p")
+    units = sized.where(F.col("p") > _EPS).groupBy("rid", "rid2", "src", "size", "p").agg(F.count("*").alias("m")).select("rid", "rid2", "src", "size", "m", "p")
     picks = choose(kept.table(units, "units"), kept, bucket)
     copies = F.col("whole") + F.coalesce("pick", F.lit(0))
-    return sized.join(picks, "rid", "left").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "rid")
+    columns = ["doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "rid", "rid2"]
+    return sized.join(picks, ["rid", "rid2"], "left").select(*columns)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +168,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every row as often as the mix takes it."""
-    times = mix(docs).where("copies > 0").select(F.col("rid").alias("__rid"), F.col("copies").alias("__copies")).distinct()
-    return keyed(docs, "__rid").join(times, "__rid").withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    """Pipeline stage: every row as often as the mix takes it.
+
+    Nulls as in ``mix``: null text has size 0 and is taken as its source's share says, null source is a source. Each of
+    wholly repeated rows comes that often. Other columns come along; an empty table gives no rows.
+    """
+    times = mix(docs).where("copies > 0").select(F.col("rid").alias("__rid"), F.col("rid2").alias("__rid2"), F.col("copies").alias("__copies")).distinct()
+    return keyed(docs, "__rid").join(times, ["__rid", "__rid2"]).withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
