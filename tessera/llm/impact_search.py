@@ -95,54 +95,65 @@ def _matrix(vectors, width: int) -> np.ndarray:
 
 def _search(k: int):
     def run(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
-        out: tuple[list, list, list] = [], [], []
+        out: tuple[list, list, list, list] = [], [], [], []
         if len(qs) and len(xs):
-            xs = xs.sort_values("vec_id")
+            xs = xs.sort_values(["vec_id", "name"])
+            xs = xs.loc[xs.index.repeat(np.minimum(xs.copies, k + 1))]  # more equal rows than k, besides the query's own, can't be among the k best
             width = max(max(map(len, qs.v)), max(map(len, xs.v)))
-            ids, x = xs.vec_id.to_numpy(), _matrix(xs.v.to_numpy(), width)
+            ids, names, x = xs.vec_id.to_numpy(), xs.name.to_numpy(), _matrix(xs.v.to_numpy(), width)
             q_all = _matrix(qs.v.to_numpy(), width)
             small = max(int(np.abs(x).max(initial=0)), int(np.abs(q_all).max(initial=0))) < LARGEST and width <= 4096
             index = Postings(x) if small else None
-            for qid, q in zip(qs.vec_id.to_numpy(), q_all):
+            for qid, name, q in zip(qs.vec_id.to_numpy(), qs.name.to_numpy(), q_all):
                 rows = np.arange(len(ids)) if index is None else index.members(q, min(k + 1, len(ids)), max(4 * k, len(ids) // 50))[0]
-                rows = rows[ids[rows] != qid]
+                own = np.flatnonzero((ids[rows] == qid) & (names[rows] == name))[:1]
+                rows = np.delete(rows, own)
                 score = _exact(x[rows], q) if index is None else (index.x[rows] @ q.astype(np.float64)).astype(np.int64)
                 best = np.lexsort((ids[rows], -score.astype(object) if len(score) and score.min() == -(2**63) else -score))[:k]
                 out[0].extend([qid] * len(best))
-                out[1].extend(ids[rows[best]])
-                out[2].extend(score[best])
-        return pd.DataFrame({"query_id": np.array(out[0], np.int64), "vec_id": np.array(out[1], np.int64), "score": np.array(out[2], np.int64)})
+                out[1].extend([name] * len(best))
+                out[2].extend(ids[rows[best]])
+                out[3].extend(score[best])
+        return pd.DataFrame({c: np.array(v, np.int64) for c, v in zip(("query_id", "name", "vec_id", "score"), out)})
 
     return run
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component; only whole, finite vectors.
+    """(vec_id, v, name, copies): floor(scale * x) of each component; only whole, finite vectors.
 
-    Rows with null vec_id, null vectors, or null, NaN or infinite components take no part. Of
-    rows that share a vec_id the one with the smallest vector takes part.
+    Rows with null vec_id, null vectors, or null, NaN or infinite components take no part. Every
+    other row does: rows that share vec_id and v are one row here with their number in ``copies``, and
+    ``name`` (64 bits of v) tells rows with one vec_id apart. Other columns are ignored.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     v = v.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(~bad)
-    return v.groupBy("vec_id").agg(F.min("e").alias("e")).select("vec_id", F.transform("e", lambda x: F.floor(F.lit(scale) * x).cast("long")).alias("v"))
+    v = v.select("vec_id", F.transform("e", lambda x: F.floor(F.lit(scale) * x).cast("long")).alias("v"))
+    return v.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).select("vec_id", "v", F.xxhash64("v").alias("name"), "copies")
 
 
 def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k largest integer inner products with other vectors.
+    """(query_id, rank, vec_id, score): each query's k largest integer inner products with other rows.
 
-    Both frames come from ``quantised``. Ties go to the smaller vec_id; fewer than k other
-    vectors give all of them. A shorter vector counts as ending in zeros. Blocks of queries
-    meet shards of vectors; the numbers of both follow the tables.
+    Both frames come from ``quantised``. Candidates are all rows but the query's own, others with its vec_id
+    too; each of several query rows with one vec_id gets its own k rows. Ties go to the smaller
+    vec_id; fewer than k other rows give all of them. A shorter vector counts as ending in zeros; a vector's
+    length is the work of its row. Empty tables give no rows. Blocks of queries meet shards of
+    vectors; the numbers of both follow the tables.
     """
+    prepare(vectors.sparkSession)
     shards, blocks = max(1, -(-vectors.count() // shard)), max(1, -(-queries.count() // block))
-    cut = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    cut = lambda n: F.pmod(F.xxhash64("vec_id", "name"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("vec_id", "v", cut(blocks).alias("b")).withColumn("s", every(shards))
-    x = vectors.select("vec_id", "v", cut(shards).alias("s")).withColumn("b", every(blocks))
-    found = q.groupBy("b", "s").cogroup(x.groupBy("b", "s")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    q = queries.select("vec_id", "name", "v", cut(blocks).alias("b")).withColumn("s", every(shards))
+    x = vectors.select("vec_id", "name", "copies", "v", cut(shards).alias("s")).withColumn("b", every(blocks))
+    found = q.groupBy("b", "s").cogroup(x.groupBy("b", "s")).applyInPandas(_search(k), "query_id long, name long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "name").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    more = queries.where("copies > 1").select(F.col("vec_id").alias("query_id"), "name", "copies")
+    each = ranked.join(more, ["query_id", "name"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int"))))
+    return each.select("query_id", "rank", "vec_id", "score")
 
 
 def op9_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,11 +162,10 @@ def op9_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, min(embedding) AS e FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-i AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-    FROM i q, i c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+WITH i AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM i q, i c WHERE q.vec_id % 50 = 0 AND q.row <> c.row),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

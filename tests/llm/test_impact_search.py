@@ -5,12 +5,12 @@ from tessera.llm import impact_search
 
 
 def brute(vectors, k):
-    v = {i: [int(np.floor(256 * np.float64(c))) for c in e] for i, e in vectors if i is not None and e is not None and all(c is not None and np.isfinite(c) for c in e)}
+    v = [(i, [int(np.floor(256 * np.float64(c))) for c in e]) for i, e, *_ in vectors if i is not None and e is not None and all(c is not None and np.isfinite(c) for c in e)]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     out = []
-    for q in v:
+    for at, (q, x) in enumerate(v):
         if q % 50 == 0:
-            best = sorted((-dot(v[q], v[c]), c) for c in v if c != q)[:k]
+            best = sorted((-dot(x, y), c) for i, (c, y) in enumerate(v) if i != at)[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     return sorted(out)
 
@@ -32,6 +32,18 @@ def test_equals_brute_force(spark):
     assert impact_search.top_products(alone, alone, 5).collect() == []
 
 
+def test_rows_that_share_an_id(spark):
+    """Every row but the query's own is a candidate; extra columns with clashing names are ignored."""
+    rng = np.random.default_rng(9)
+    rows = [(0, [1.0, 0.0], 1, "a"), (1, [1.0, 0.0], 2, "b"), (1, [0.5, 0.0], 3, "c"), (50, [0.25, 1.0], 4, "d"), (50, [0.25, 1.0], 4, "d"), (50, [2.0, -1.0], 5, "e")]
+    rows += [(7, [0.75, 0.5], 6, "f")] * 9 + [(int(i) // 3, rng.normal(0, 1, 2).tolist(), 0, "g") for i in range(300, 460)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, copies int, name string")
+    v = impact_search.quantised(df)
+    for shard in (4096, 20):
+        got = sorted(tuple(r) for r in impact_search.top_products(v, v.where("vec_id % 50 = 0"), 5, shard, 3).collect())
+        assert got == brute(rows, 5)
+
+
 def test_reading_stops_early_on_proof():
     rng = np.random.default_rng(1)
     x = np.floor(rng.normal(0, 1, (4000, 24)) ** 3 * 60).astype(np.int64)
