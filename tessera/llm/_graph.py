@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._session import Kept
+from tessera.llm._session import Kept, join_counted
 
 
 def _around(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(links: DataFrame) -> DataFrame:
+    return links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of its neighbourhood."""
     both = _around(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    return join_counted(both, _least(both), "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them; edges run from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(edges)
+    joined = join_counted(edges, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -35,13 +38,16 @@ def _unsettled(edges: DataFrame) -> int:
 def components(edges: DataFrame, kept: Kept, most: int = 60) -> DataFrame:
     """(u, v) links -> (node, root): every node of a link with the smallest node it can reach.
 
-    Rounds follow the logarithm of a component's diameter. Each node's links stay spread
-    over a join, so that one hub's links need no common task. Loops count as no link.
+    Rounds follow the logarithm of a component's diameter. A hub's links stay where they are:
+    its least neighbour is broadcast (``join_counted``), so that no task meets them all. Loops count as no link.
     """
     least, most_ = F.least("u", "v"), F.greatest("u", "v")
     edges = kept.table(edges.where("u <> v").select(most_.alias("u"), least.alias("v")).distinct(), "links")
     for _ in range(most):
-        edges = kept.table(_small_star(_large_star(edges)).distinct(), "links")
+        total = edges.count()
+        large = kept.table(_large_star(edges, total).distinct(), "links")
+        kept.drop_one(-2)
+        edges = kept.table(_small_star(large, total).distinct(), "links")
         kept.drop_one(-2)
         if not _unsettled(edges):
             break

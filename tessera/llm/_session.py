@@ -91,6 +91,22 @@ class Kept(list):
             delete(self.spark, self.pop(0))
 
 
+#: A key with more than one in so many rows is hot: at most this many keys are.
+HOT_SHARE = 4096
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) with one row a key that has in ``n`` how many rows share it.
+
+    Rows of hot keys stay where they are and meet their keys (HOT_SHARE at most) by broadcast;
+    only the others are dealt by key.
+    """
+    is_hot = F.col("n") > max(1, total // HOT_SHARE)
+    hot = F.broadcast(keyed.where(is_hot))
+    cold = rows.join(F.broadcast(keyed.where(is_hot).select(key)), key, "left_anti").join(keyed.where(~is_hot), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,6 +196,27 @@ def _near(num: int, den: int):
     return run
 
 
+def _common(shared: DataFrame) -> DataFrame:
+    """Tokens of more than GROUP sets and more than one in HOT_SHARE rows, at most HOT_SHARE of them."""
+    total = shared.count()
+    return shared.groupBy("token").count().where(F.col("count") > max(GROUP, total // HOT_SHARE))
+
+
+def _through_hubs(shared: DataFrame, common: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links the sets of common tokens to one set of their size class each; no token meets in one task.
+
+    Size classes are twice as wide as two sets that can link may differ, and come in two kinds, half a class
+    apart, so that any two such sets are in one class of either kind. Hubs are broadcast: as many as tokens and classes.
+    """
+    wide = 2 * math.log(den / num) * 1.000001 or 1.0
+    at = F.log(F.greatest(F.col("n"), F.lit(1))) / wide
+    both = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.floor(at + i / 2).alias("class")) for i in range(2)]))
+    rows = shared.join(F.broadcast(common.select("token")), "token").join(sizes.select("sid", "n"), "sid")
+    rows = rows.select("token", "sid", both.alias("c")).select("token", "sid", "c.kind", "c.class")
+    hubs = rows.groupBy("token", "kind", "class").agg(F.min("sid").alias("hub"))
+    return rows.join(F.broadcast(hubs), ["token", "kind", "class"]).where("sid <> hub").select(F.col("sid").alias("u"), F.col("hub").alias("v")).distinct()
+
+
 def _elements(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -237,9 +259,11 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, blo
     tokens = docs.mapInArrow(_prefixes(k, num, den, sc.broadcast(sketch.tobytes()), sc.broadcast(hot)), "token long, sid long")
     n_parts = partitions(spark)
     shared = tokens.repartition(n_parts, "token").sortWithinPartitions("token", "sid").mapInArrow(_shared, "token long, sid long")
-    shared = inner.table(shared, "shared").join(sizes.select("sid", "n", "part"), "sid")
-    near = shared.repartition(n_parts, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(_near(num, den), "u long, v long")
-    groups = components(near, inner)
+    shared = inner.table(shared, "shared")
+    common = _common(shared)
+    rest = shared.join(F.broadcast(common.select("token")), "token", "left_anti").join(sizes.select("sid", "n", "part"), "sid")
+    near = rest.repartition(n_parts, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(_near(num, den), "u long, v long")
+    groups = components(near.union(_through_hubs(shared, common, sizes, num, den)), inner)
     members = kept.table(sizes.join(groups.select(F.col("node").alias("sid"), F.col("root").alias("grp")), "sid").drop("part"), "members")
     inner.drop()
     sets = docs.join(members.select("doc_id", "sid"), "doc_id").select("sid", "text").mapInArrow(_elements(k), "sid long, elements binary")
@@ -266,7 +290,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, at 5 words and 0.8: of each component only the rows with the smallest doc_id stay.
 
     Rows that share a doc_id stand or fall together, and of wholly repeated rows one stays.
-    Rows with null doc_id and rows without words have no links and stay.
+    Rows with null doc_id and rows without words have no links and stay. Ties go to the smaller doc_id;
+    other columns come along; an empty table gives no rows.
     """
     found = jaccard_join(docs, 5, 80, 100).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").distinct().select(docs.columns)
+    left = docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.groupBy(F.xxhash64("doc_id", "text").alias("h")).count().where("count > 1").limit(1).count()
+    return left.distinct() if repeated else left  # whole rows move only where some may be the same
