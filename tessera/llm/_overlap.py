@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._session import partitions
+from tessera.llm._session import partitions, trimmed
 
 #: Set elements in a block; a task holds two blocks.
 BLOCK = 200_000
@@ -203,4 +203,4 @@ def links(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BL
     large = large.select("sid", "copies", F.explode(F.concat(own, up, down)).alias("s")).select("sid", "copies", "s.side", "s.task")
     tasks = small.union(large).join(sets, "sid")
     dealt = tasks.repartition(partitions(sets.sparkSession), "task").sortWithinPartitions("task", "side", "sid")
-    return dealt.select("task", "sid", "elements", "copies", "side").mapInArrow(_run_tasks(num, den, decode, sized), LINK_SCHEMA)
+    return dealt.select("task", "sid", "elements", "copies", "side").mapInArrow(trimmed(_run_tasks(num, den, decode, sized)), LINK_SCHEMA)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +109,24 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> Dat
     return rows.join(hot, key).unionByName(cold)
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
+def trimmed(f):
+    """``f`` over a task's batches; an idle worker afterwards holds little beside its modules."""
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

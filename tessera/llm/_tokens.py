@@ -50,6 +50,10 @@ class Encoder:
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
+    def forget(self) -> None:
+        """Empties the cache, where a worker's memory is wanted by what comes next."""
+        self.young, self.old = {}, {}
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 

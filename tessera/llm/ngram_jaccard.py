@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _overlap
 from tessera.llm._graph import components
 from tessera.llm._overlap import Forest
-from tessera.llm._session import Kept, documents, partitions, prepare
+from tessera.llm._session import Kept, documents, partitions, prepare, trimmed
 from tessera.llm._text import mix, pieces, shingle_sets
 
 #: Counters of the sketch: its size is fixed, whatever the input.
@@ -244,7 +244,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, blo
     spark = prepare(docs.sparkSession)
     kept, inner = Kept(spark), Kept(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = inner.table(docs.mapInArrow(_scan(k), "kind int, doc_id long, sid long, n long, part binary"), "scan")
+    scan = inner.table(docs.mapInArrow(trimmed(_scan(k)), "kind int, doc_id long, sid long, n long, part binary"), "scan")
     rows = kept.table(scan.where("kind = 0").select("doc_id", "sid", "n", "part"), "rows")
     parts = scan.where("kind = 1").select("sid", "part").repartition(min(partitions(spark), COUNTERS // CHUNK), "sid").mapInArrow(_add_parts, "sid long, part binary")
     sketch = np.zeros(COUNTERS, dtype=np.uint32)
@@ -256,17 +256,17 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, blo
     total = rows.count()
     hot = {r.sid: r.doc_id for r in sizes.where(F.col("copies") > max(16, total // HOT_SHARE)).collect()}  # at most HOT_SHARE rows
     sc = spark.sparkContext
-    tokens = docs.mapInArrow(_prefixes(k, num, den, sc.broadcast(sketch.tobytes()), sc.broadcast(hot)), "token long, sid long")
+    tokens = docs.mapInArrow(trimmed(_prefixes(k, num, den, sc.broadcast(sketch.tobytes()), sc.broadcast(hot))), "token long, sid long")
     n_parts = partitions(spark)
     shared = tokens.repartition(n_parts, "token").sortWithinPartitions("token", "sid").mapInArrow(_shared, "token long, sid long")
     shared = inner.table(shared, "shared")
     common = _common(shared)
     rest = shared.join(F.broadcast(common.select("token")), "token", "left_anti").join(sizes.select("sid", "n", "part"), "sid")
-    near = rest.repartition(n_parts, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(_near(num, den), "u long, v long")
+    near = rest.repartition(n_parts, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(trimmed(_near(num, den)), "u long, v long")
     groups = components(near.union(_through_hubs(shared, common, sizes, num, den)), inner)
     members = kept.table(sizes.join(groups.select(F.col("node").alias("sid"), F.col("root").alias("grp")), "sid").drop("part"), "members")
     inner.drop()
-    sets = docs.join(members.select("doc_id", "sid"), "doc_id").select("sid", "text").mapInArrow(_elements(k), "sid long, elements binary")
+    sets = docs.join(members.select("doc_id", "sid"), "doc_id").select("sid", "text").mapInArrow(trimmed(_elements(k)), "sid long, elements binary")
     found = kept.table(_overlap.links(sets, members.select("sid", "grp", "n", "copies"), num, den, block), "found")
     roots = kept.table(components(found.where("w = 0").select(F.col("a").alias("u"), F.col("b").alias("v")), inner), "roots")
     inner.drop()

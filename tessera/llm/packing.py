@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._session import Kept, documents, prepare
+from tessera.llm._session import Kept, documents, prepare, trimmed
 from tessera.llm._text import pieces as runs
 from tessera.llm._tokens import CACHE, SMALL_CACHE, encoder, tokenizer_path
 
@@ -159,6 +159,8 @@ def _cut(path: str, seq_len: int, end_id: int, cache: int):
                             col.append(v)
                         start, end, piece = end, end + seq_len, piece + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "length", "ids"])
+        if cache <= SMALL_CACHE:
+            encoder(path, cache).forget()
 
     return run
 
@@ -170,7 +172,7 @@ def cut_pieces(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int =
     counts as empty: one piece, the end id alone.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.mapInArrow(_cut(path, seq_len, end_id, cache), PIECE_SCHEMA)
+    return docs.mapInArrow(trimmed(_cut(path, seq_len, end_id, cache)), PIECE_SCHEMA)
 
 
 def _place(shared):
