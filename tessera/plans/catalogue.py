@@ -34,10 +34,14 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tessera.plans import compositions  # noqa: F401  registers its queries
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.plans import compositions  # noqa: F401
+
     return _SQL
 
 
@@ -48,20 +52,21 @@ def vectors(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), *more)
 
 
-def few(v: DataFrame, n: int = 10) -> DataFrame:
-    return v.where(F.col("id") < n)
+def few(v: DataFrame) -> DataFrame:
+    """The queries of a search: every row whose id is divisible by 50."""
+    return v.where(F.col("id") % 50 == 0)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one user group as series: position in time order, value, label of errors."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 20 = 0")
+    """Events of each user as a series: position in time order, value, label of errors."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(F.col("user_id").cast("string").alias("series_id"), (F.row_number().over(w) - 1).cast("long").alias("t"), "value", (F.col("event_type") == "error").cast("int").alias("label"))
 
 
-def one_series(spark: SparkSession, sf_dir: str, n: int = 600) -> DataFrame:
-    """The first n events as one series; a limit by event_id, so no task orders the whole table."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") < n)
+def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series in order of event_id, which counts them."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.lit("s").alias("series_id"), F.col("event_id").alias("t"), "value", (F.col("event_type") == "error").cast("int").alias("label"))
 
 
@@ -113,7 +118,7 @@ def s_pinned(n: int, seed: int = 1) -> str:
 
 A = f"""{V}, {s_pinned(NLIST)}, a AS (SELECT id, vec, list_no, dis, row_number() OVER (PARTITION BY id ORDER BY dis, list_no) AS rank
  FROM (SELECT x.id, x.vec, q.list_no, {s_l2("q.vec", "x.vec")} AS dis FROM c q, v x))"""
-L = f"{A}, l AS (SELECT list_no, id, vec, dis AS o2c FROM a WHERE rank = 1), pr AS (SELECT id AS qid, vec AS qvec, rank AS probe, list_no, dis AS q2c FROM a WHERE id < 10 AND rank <= {NPROBE})"
+L = f"{A}, l AS (SELECT list_no, id, vec, dis AS o2c FROM a WHERE rank = 1), pr AS (SELECT id AS qid, vec AS qvec, rank AS probe, list_no, dis AS q2c FROM a WHERE id % 50 = 0 AND rank <= {NPROBE})"
 S_CAND = "SELECT q.qid, x.id, " + s_l2("q.qvec", "x.vec") + " AS dis FROM pr q JOIN l x ON q.list_no = x.list_no"
 CB = f"""{V}, k0 AS (SELECT CAST(row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':1'), id) - 1 AS INTEGER) AS code, vec FROM v QUALIFY code < {CODES}),
 m AS (SELECT unnest(range({M})) AS m), cb AS (SELECT m, code, list_slice(vec, m * {64 // M} + 1, (m + 1) * {64 // M}) AS sub FROM k0, m),
@@ -138,7 +143,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.exact_knn(few(v), v, 5, exclude_self=True)
 
 
-@query("j01_exact_knn_self_excluded", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10 AND q.id <> x.id"))
+@query("j01_exact_knn_self_excluded", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id % 50 = 0 AND q.id <> x.id"))
 def _(spark, sf):
     return rounded(entry(spark, sf))
 
@@ -148,7 +153,7 @@ def _metric_query(name: str) -> None:
     desc = name in ("ip", "jaccard")
     base = POSITIVE if positive else V
 
-    @query(f"j05_knn_{name}", f"WITH {base} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS[name]} AS dis FROM v q, v x WHERE q.id < 10", desc=desc))
+    @query(f"j05_knn_{name}", f"WITH {base} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS[name]} AS dis FROM v q, v x WHERE q.id % 50 = 0", desc=desc))
     def _(spark, sf):
         v = vectors(spark, sf)
         if positive:
@@ -161,13 +166,13 @@ for _name in S_METRICS:
 
 
 @query("j05_knn_nan_euclidean", f"""WITH {V}, n AS (SELECT id, list_transform(vec, lambda x: CASE WHEN x > 0.2 THEN NULL ELSE x END) AS vec FROM v)
-{s_top('SELECT q.id AS qid, x.id, 64.0 / ' + s_fold('q.vec', 'x.vec', 'CASE WHEN p[1] IS NULL OR p[2] IS NULL THEN 0.0 ELSE 1.0 END') + ' * ' + s_fold('q.vec', 'x.vec', 'CASE WHEN p[1] IS NULL OR p[2] IS NULL THEN 0.0 ELSE (p[1] - p[2]) * (p[1] - p[2]) END') + ' AS dis FROM n q, n x WHERE q.id < 10')}""")
+{s_top('SELECT q.id AS qid, x.id, 64.0 / ' + s_fold('q.vec', 'x.vec', 'CASE WHEN p[1] IS NULL OR p[2] IS NULL THEN 0.0 ELSE 1.0 END') + ' * ' + s_fold('q.vec', 'x.vec', 'CASE WHEN p[1] IS NULL OR p[2] IS NULL THEN 0.0 ELSE (p[1] - p[2]) * (p[1] - p[2]) END') + ' AS dis FROM n q, n x WHERE q.id % 50 = 0')}""")
 def _(spark, sf):
     v = vectors(spark, sf).select("id", F.transform("vec", lambda x: F.when(x.cast("double") > 0.2, float("nan")).otherwise(x.cast("double"))).alias("vec"))
     return rounded(knn.exact_knn(few(v), v, 5, "nan_euclidean"))
 
 
-@query("j02_flat_l2_by_norms", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {s_ip('q.vec', 'q.vec')} + {s_ip('x.vec', 'x.vec')} - 2 * {s_ip('q.vec', 'x.vec')} AS dis FROM v q, v x WHERE q.id < 10 AND q.id <> x.id"))
+@query("j02_flat_l2_by_norms", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {s_ip('q.vec', 'q.vec')} + {s_ip('x.vec', 'x.vec')} - 2 * {s_ip('q.vec', 'x.vec')} AS dis FROM v q, v x WHERE q.id % 50 = 0 AND q.id <> x.id"))
 def _(spark, sf):
     v = vectors(spark, sf)
     q = F.broadcast(few(v).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), distances.norm2(F.col("vec")).alias("q2")))
@@ -175,11 +180,11 @@ def _(spark, sf):
     return rounded(knn.top_k(p.select("qid", "id", (F.col("q2") + F.col("x2") - 2 * distances.ip(F.col("qvec"), F.col("vec"))).alias("dis")), 5).select("qid", "rank", "id", "dis"))
 
 
-@query("j03_knn_one_dimension", """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS x FROM orders), p AS (SELECT q.id AS qid, o.id, abs(q.x - o.x) AS dis FROM o q, o WHERE q.id < 20 AND q.id <> o.id)
+@query("j03_knn_one_dimension", """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS x FROM orders), p AS (SELECT q.id AS qid, o.id, abs(q.x - o.x) AS dis FROM o q, o WHERE q.id % 50 = 0 AND q.id <> o.id)
 SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(dis, 6) AS dis FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dis, id) AS rank FROM p) WHERE rank <= 3""")
 def _(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.array("o_totalprice").alias("vec"))
-    return rounded(knn.exact_knn(o.where("id < 20"), o, 3, "l1", exclude_self=True))
+    return rounded(knn.exact_knn(few(o), o, 3, "l1", exclude_self=True))
 
 
 @query("j04_knn_matrix_blocks", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id % 5 = 0", dis="round(dis, 4)"))
@@ -188,7 +193,7 @@ def _(spark, sf):
     return rounded(knn.blocked_knn(v.where("id % 5 = 0"), v, 5, block=64, shards=4), digits=4)
 
 
-@query("j06_knn_of_candidate_lists", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q JOIN v x ON x.label = q.label WHERE q.id < 10"))
+@query("j06_knn_of_candidate_lists", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q JOIN v x ON x.label = q.label WHERE q.id % 50 = 0"))
 def _(spark, sf):
     v = vectors(spark, sf, "label")
     c = few(v).select(F.col("id").alias("qid"), "label").join(v.select("id", "label"), "label").select("qid", "id")
@@ -218,7 +223,7 @@ def _(spark, sf):
     return rounded(ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE, selector=F.col("id") % 3 == 1))
 
 
-@query("j09_ivf_all_lists_is_exact", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10"))
+@query("j09_ivf_all_lists_is_exact", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id % 50 = 0"))
 def _(spark, sf):
     v = vectors(spark, sf)
     c = pinned(v)
@@ -246,7 +251,7 @@ def _(spark, sf):
     return rounded(knn.top_k(p.select("qid", "id", quantizers.adc(F.col("lut"), F.col("code")).alias("dis")), 5).select("qid", "rank", "id", "dis"), digits=4)
 
 
-S_ADC = f"WITH {CB}, p AS (SELECT t.id AS qid, e.id, sum(t.dis) AS dis FROM t JOIN e ON t.m = e.m AND t.code = e.code WHERE t.id < 10 GROUP BY 1, 2) "
+S_ADC = f"WITH {CB}, p AS (SELECT t.id AS qid, e.id, sum(t.dis) AS dis FROM t JOIN e ON t.m = e.m AND t.code = e.code WHERE t.id % 50 = 0 GROUP BY 1, 2) "
 
 
 @query("j17_pq_asymmetric", S_ADC + s_top("SELECT * FROM p", dis="round(dis, 4)"))
@@ -257,7 +262,7 @@ def _(spark, sf):
 
 
 @query("q07_pq_symmetric", f"""WITH {CB}, s AS (SELECT q.m, q.code AS a, x.code AS b, {s_l2('q.sub', 'x.sub')} AS dis FROM cb q JOIN cb x ON q.m = x.m),
-p AS (SELECT q.id AS qid, e.id, sum(s.dis) AS dis FROM e q JOIN e ON q.m = e.m JOIN s ON s.m = e.m AND s.a = q.code AND s.b = e.code WHERE q.id < 10 GROUP BY 1, 2)
+p AS (SELECT q.id AS qid, e.id, sum(s.dis) AS dis FROM e q JOIN e ON q.m = e.m JOIN s ON s.m = e.m AND s.a = q.code AND s.b = e.code WHERE q.id % 50 = 0 GROUP BY 1, 2)
 SELECT qid, CAST(sum(dis) * 0 AS INTEGER) AS zero, count(*) AS n, round(min(dis), 4) AS least, round(avg(dis), 4) AS mean FROM p GROUP BY qid""")
 def _(spark, sf):
     v = vectors(spark, sf)
@@ -286,7 +291,7 @@ def _(spark, sf):
     return quantizers.encode_pq(v, b).select("id", F.round(distances.l2(F.col("vec"), quantizers.decode_pq(F.col("code"), b)), 6).alias("err"))
 
 
-@query("q05_distance_tables", f"WITH {CB} SELECT id AS qid, m, code, round(dis, 6) AS dis FROM t WHERE id < 10")
+@query("q05_distance_tables", f"WITH {CB} SELECT id AS qid, m, code, round(dis, 6) AS dis FROM t WHERE id % 50 = 0")
 def _(spark, sf):
     v = vectors(spark, sf)
     t = quantizers.tables(few(v), book(v)).select("qid", F.posexplode("lut").alias("m", "row"))
@@ -322,7 +327,7 @@ def _(spark, sf):
 
 @query("j20_scalar_quantized_search", f"""WITH {V}, u AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v), r AS (SELECT pos, min(x) AS lo, max(x) - min(x) AS w FROM u GROUP BY pos),
 y AS (SELECT id, list(lo + w * ((floor(255.0 * greatest(0.0, least(1.0, (x - lo) / w))) + 0.5) / 255.0) ORDER BY u.pos) AS vec FROM u JOIN r ON u.pos = r.pos GROUP BY id)
-{s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, y x WHERE q.id < 10", dis='round(dis, 5)')}""")
+{s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, y x WHERE q.id % 50 = 0", dis='round(dis, 5)')}""")
 def _(spark, sf):
     v = vectors(spark, sf)
     lo, width = quantizers.as_arrays(quantizers.ranges(v))
@@ -350,10 +355,16 @@ def _(spark, sf):
 
 @query("q16_sphere_lattice")
 def _(spark, sf):
+    import pandas as pd
+
     s = quantizers.Sphere(4, 6)
-    x = models.matrix(few(vectors(spark, sf), 50).toPandas().vec)[:, :4]
-    code = s.encode(x)
-    return spark.createDataFrame([(int(i), int(c), [int(p) for p in s.decode(np.array([c]))[0]]) for i, c in enumerate(code)], "id long, code long, point array<long>")
+
+    def run(batches):
+        for pdf in batches:
+            code = s.encode(models.matrix(pdf.vec)[:, :4])
+            yield pd.DataFrame({"id": pdf.id, "code": code.astype("int64"), "point": [[int(p) for p in s.decode(np.array([c]))[0]] for c in code]})
+
+    return vectors(spark, sf).mapInPandas(run, "id long, code long, point array<long>")
 
 
 # Binary.
@@ -362,19 +373,19 @@ BIN = f"{V}, b AS (SELECT id, list_transform(vec, lambda x: CASE WHEN x >= 0 THE
 S_HAM = s_fold("q.bits", "x.bits", "CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END")
 
 
-@query("j37_binary_knn", f"WITH {BIN} " + s_top(f"SELECT q.id AS qid, x.id, {S_HAM} AS dis FROM b q, b x WHERE q.id < 10", dis="CAST(dis AS INTEGER)"))
+@query("j37_binary_knn", f"WITH {BIN} " + s_top(f"SELECT q.id AS qid, x.id, {S_HAM} AS dis FROM b q, b x WHERE q.id % 50 = 0", dis="CAST(dis AS INTEGER)"))
 def _(spark, sf):
     c = codes32(vectors(spark, sf))
     return binary.search(few(c), c, 5)
 
 
-@query("r05_binary_range", f"WITH {BIN} SELECT q.id AS qid, x.id, CAST({S_HAM} AS INTEGER) AS dis FROM b q, b x WHERE q.id < 10 AND {S_HAM} < 24")
+@query("r05_binary_range", f"WITH {BIN} SELECT q.id AS qid, x.id, CAST({S_HAM} AS INTEGER) AS dis FROM b q, b x WHERE q.id % 50 = 0 AND {S_HAM} < 24")
 def _(spark, sf):
     c = codes32(vectors(spark, sf))
     return binary.pairs(few(c), c).where("dis < 24").withColumn("dis", F.col("dis").cast("int"))
 
 
-@query("r06_hamming_threshold_counts", f"WITH {BIN} SELECT q.id AS qid, count(*) AS n FROM b q, b x WHERE q.id < 10 AND {S_HAM} <= 26 GROUP BY q.id")
+@query("r06_hamming_threshold_counts", f"WITH {BIN} SELECT q.id AS qid, count(*) AS n FROM b q, b x WHERE q.id % 50 = 0 AND {S_HAM} <= 26 GROUP BY q.id")
 def _(spark, sf):
     c = codes32(vectors(spark, sf))
     return binary.pairs(few(c), c).where("dis <= 26").groupBy("qid").agg(F.count("*").alias("n"))
@@ -387,15 +398,15 @@ def _(spark, sf):
 
 
 @query("f10_differing_bytes", f"""WITH {BIN}, y AS (SELECT id, list_transform(range(8), lambda k: list_slice(bits, k * 8 + 1, k * 8 + 8)) AS b8 FROM b)
-SELECT q.id AS qid, x.id, CAST({s_fold('q.b8', 'x.b8', 'CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END')} AS INTEGER) AS dis FROM y q, y x WHERE q.id < 5""")
+SELECT q.id AS qid, x.id, CAST({s_fold('q.b8', 'x.b8', 'CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END')} AS INTEGER) AS dis FROM y q, y x WHERE q.id % 50 = 0""")
 def _(spark, sf):
     c = codes32(vectors(spark, sf))
-    return binary.pairs(few(c, 5), c, binary.differing_bytes).withColumn("dis", F.col("dis").cast("int"))
+    return binary.pairs(few(c), c, binary.differing_bytes).withColumn("dis", F.col("dis").cast("int"))
 
 
 @query("j23_lsh_medians", f"""WITH {V}, u AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v), t AS (SELECT pos, median(x) AS m FROM u WHERE pos <= 32 GROUP BY pos),
 b AS (SELECT id, list(CASE WHEN x >= m THEN 1 ELSE 0 END ORDER BY u.pos) AS bits FROM u JOIN t ON u.pos = t.pos GROUP BY id)
-{s_top(f'SELECT q.id AS qid, x.id, {S_HAM} AS dis FROM b q, b x WHERE q.id < 10', dis='CAST(dis AS INTEGER)')}""")
+{s_top(f'SELECT q.id AS qid, x.id, {S_HAM} AS dis FROM b q, b x WHERE q.id % 50 = 0', dis='CAST(dis AS INTEGER)')}""")
 def _(spark, sf):
     v = vectors(spark, sf)
     t = binary.lsh_thresholds(v, 32)
@@ -411,7 +422,7 @@ def _(spark, sf):
 def _hash_query(name: str, b: int, nflip: int, n_hash: int) -> None:
     same = lambda t: f"list_sum(list_transform(list_zip(list_slice(q.bits, {t * b + 1}, {t * b + b}), list_slice(x.bits, {t * b + 1}, {t * b + b})), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) <= {nflip}"
 
-    @query(name, f"WITH {BIN} " + s_top(f"SELECT q.id AS qid, x.id, {S_HAM} AS dis FROM b q, b x WHERE q.id < 10 AND ({' OR '.join(same(t) for t in range(n_hash))})", dis="CAST(dis AS INTEGER)"))
+    @query(name, f"WITH {BIN} " + s_top(f"SELECT q.id AS qid, x.id, {S_HAM} AS dis FROM b q, b x WHERE q.id % 50 = 0 AND ({' OR '.join(same(t) for t in range(n_hash))})", dis="CAST(dis AS INTEGER)"))
     def _(spark, sf):
         c = codes32(vectors(spark, sf))
         return binary.hash_search(few(c), c, 5, b, nflip, n_hash)
@@ -421,7 +432,7 @@ _hash_query("j40_binary_hash", 8, 1, 1)
 _hash_query("j41_binary_multi_hash", 6, 1, 3)
 
 
-@query("j42_binary_from_float", f"WITH {BIN} " + s_top(f"SELECT q.id AS qid, x.id, 4.0 * {S_HAM} / 4 AS dis FROM b q, b x WHERE q.id < 10"))
+@query("j42_binary_from_float", f"WITH {BIN} " + s_top(f"SELECT q.id AS qid, x.id, 4.0 * {S_HAM} / 4 AS dis FROM b q, b x WHERE q.id % 50 = 0"))
 def _(spark, sf):
     v = vectors(spark, sf).select("id", binary.to_signs(binary.bits_of(F.col("vec"))).alias("vec"))
     return knn.exact_knn(few(v), v, 5).withColumn("dis", F.round(F.col("dis") / 4, 6))
@@ -444,7 +455,7 @@ def _(spark, sf):
     return rounded(knn.refine(quantizers.search_pq(few(v), quantizers.encode_pq(v, b), b, 20), v, v, 5))
 
 
-@query("j31_pretransform_normalised", f"WITH {V}, n AS (SELECT id, list_transform(vec, lambda x: x / sqrt({s_ip('vec', 'vec')})) AS vec FROM v) " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM n q, n x WHERE q.id < 10"))
+@query("j31_pretransform_normalised", f"WITH {V}, n AS (SELECT id, list_transform(vec, lambda x: x / sqrt({s_ip('vec', 'vec')})) AS vec FROM v) " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM n q, n x WHERE q.id % 50 = 0"))
 def _(spark, sf):
     v = vectors(spark, sf).select("id", transforms.l2_normalise(F.col("vec")).alias("vec"))
     return rounded(knn.exact_knn(few(v), v, 5))
@@ -455,7 +466,7 @@ def _(spark, sf):
     return vectors(spark, sf).select("id", F.transform(transforms.minmax_rows(F.col("vec").cast("array<double>")), lambda x: F.round(x, 9)).alias("vec"))
 
 
-@query("j35_vertical_split", "WITH " + V + ", " + ", ".join(f"p{i} AS (SELECT q.id AS qid, x.id, row_number() OVER (PARTITION BY q.id ORDER BY {s_l2(f'list_slice(q.vec, {i * 32 + 1}, {i * 32 + 32})', f'list_slice(x.vec, {i * 32 + 1}, {i * 32 + 32})')}, x.id) AS r FROM v q, v x WHERE q.id < 10 AND q.id <> x.id)" for i in range(2)) + " SELECT a.qid, a.id AS first_id, b.id AS second_id FROM p0 a JOIN p1 b ON a.qid = b.qid WHERE a.r = 1 AND b.r = 1")
+@query("j35_vertical_split", "WITH " + V + ", " + ", ".join(f"p{i} AS (SELECT q.id AS qid, x.id, row_number() OVER (PARTITION BY q.id ORDER BY {s_l2(f'list_slice(q.vec, {i * 32 + 1}, {i * 32 + 32})', f'list_slice(x.vec, {i * 32 + 1}, {i * 32 + 32})')}, x.id) AS r FROM v q, v x WHERE q.id % 50 = 0 AND q.id <> x.id)" for i in range(2)) + " SELECT a.qid, a.id AS first_id, b.id AS second_id FROM p0 a JOIN p1 b ON a.qid = b.qid WHERE a.r = 1 AND b.r = 1")
 def _(spark, sf):
     v = vectors(spark, sf)
     half = lambda i: v.select("id", F.slice("vec", i * 32 + 1, 32).alias("vec"))
@@ -464,7 +475,7 @@ def _(spark, sf):
 
 
 @query("j18_multi_index_cells", f"""WITH {V}, {s_pinned(8)}, h AS (SELECT * FROM (VALUES (0), (1)) t(h)),
-d AS (SELECT q.id AS qid, h, c.list_no AS code, {s_l2('list_slice(q.vec, h * 32 + 1, h * 32 + 32)', 'list_slice(c.vec, h * 32 + 1, h * 32 + 32)')} AS dis FROM v q, c, h WHERE q.id < 10)
+d AS (SELECT q.id AS qid, h, c.list_no AS code, {s_l2('list_slice(q.vec, h * 32 + 1, h * 32 + 32)', 'list_slice(c.vec, h * 32 + 1, h * 32 + 32)')} AS dis FROM v q, c, h WHERE q.id % 50 = 0)
 {s_top('SELECT a.qid, CAST(a.code + 8 * b.code AS BIGINT) AS id, a.dis + b.dis AS dis FROM d a JOIN d b ON a.qid = b.qid WHERE a.h = 0 AND b.h = 1')}""")
 def _(spark, sf):
     v = vectors(spark, sf)
@@ -485,13 +496,13 @@ def _(spark, sf):
     return rounded(graphs.nn_descent(vectors(spark, sf), 5, rounds=2))
 
 
-@query("j51_margin_mining", f"""WITH {V}, a AS (SELECT * FROM v WHERE id % 2 = 0 AND id < 100), b AS (SELECT * FROM v WHERE id % 2 = 1),
+@query("j51_margin_mining", f"""WITH {V}, a AS (SELECT * FROM v WHERE id % 2 = 0), b AS (SELECT * FROM v WHERE id % 2 = 1),
 f AS ({s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM a q, b x", 4, dis='dis')}), g AS ({s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM b q, a x", 4, dis='dis')}),
 fm AS (SELECT qid, avg(dis) AS m FROM f GROUP BY qid), gm AS (SELECT qid, avg(dis) AS m FROM g GROUP BY qid)
 SELECT f.qid, f.id, round(2 * f.dis / (fm.m + gm.m), 6) AS margin FROM f JOIN fm ON f.qid = fm.qid JOIN gm ON gm.qid = f.id WHERE 2 * f.dis / (fm.m + gm.m) > 1""")
 def _(spark, sf):
     v = vectors(spark, sf)
-    a, b = v.where("id % 2 = 0 and id < 100"), v.where("id % 2 = 1")
+    a, b = v.where("id % 2 = 0"), v.where("id % 2 = 1")
     f, g = knn.exact_knn(a, b, 4), knn.exact_knn(b, a, 4)
     m = lambda t, c: t.groupBy(F.col("qid").alias(c)).agg(F.avg("dis").alias(f"m_{c}"))
     t = f.join(m(f, "qid"), "qid").join(m(g, "id"), "id")
@@ -501,13 +512,13 @@ def _(spark, sf):
 # Ranges.
 
 
-@query("r01_range_l2", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis < 1.5")
+@query("r01_range_l2", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id % 50 = 0) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis < 1.5")
 def _(spark, sf):
     v = vectors(spark, sf)
     return rounded(knn.range_search(few(v), v, 1.5))
 
 
-@query("r01_range_ip", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['ip']} AS dis FROM v q, v x WHERE q.id < 10) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis > 0.25")
+@query("r01_range_ip", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['ip']} AS dis FROM v q, v x WHERE q.id % 50 = 0) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis > 0.25")
 def _(spark, sf):
     v = vectors(spark, sf)
     return rounded(knn.range_search(few(v), v, 0.25, "ip"))
@@ -520,7 +531,7 @@ def _(spark, sf):
     return rounded(ivf.range_search(few(v), ivf.build(v, c), c, 1.6, NPROBE))
 
 
-@query("r09_range_with_budget", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10), t AS (SELECT dis FROM p WHERE dis < 2 ORDER BY dis, qid, id LIMIT 1 OFFSET 100) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis < (SELECT dis FROM t)")
+@query("r09_range_with_budget", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id % 50 = 0), t AS (SELECT dis FROM p WHERE dis < 2 ORDER BY dis, qid, id LIMIT 1 OFFSET 100) SELECT qid, id, round(dis, 6) AS dis FROM p WHERE dis < (SELECT dis FROM t)")
 def _(spark, sf):
     v = vectors(spark, sf)
     p = knn.range_search(few(v), v, 2.0)
@@ -565,17 +576,17 @@ def _(spark, sf):
     return r.select("id", "list_no", F.round(F.aggregate("d", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("p14_distance_subset", f"WITH {V} SELECT q.id AS qid, x.id, round({S_METRICS['l2']}, 6) AS dis FROM v q JOIN v x ON x.id = q.id * 3 + 1 WHERE q.id < 50")
+@query("p14_distance_subset", f"WITH {V} SELECT q.id AS qid, x.id, round({S_METRICS['l2']}, 6) AS dis FROM v q JOIN v x ON x.id = q.id * 3 + 1")
 def _(spark, sf):
     v = vectors(spark, sf)
-    pairs = few(v, 50).select(F.col("id").alias("qid"), F.explode(F.array(F.col("id") * 3 + 1, F.lit(-1))).alias("id"))
+    pairs = v.select(F.col("id").alias("qid"), F.explode(F.array(F.col("id") * 3 + 1, F.lit(-1))).alias("id"))
     return rounded(knn.knn_of_candidates(pairs, v, v))
 
 
-@query("u01_merge_with_offset", "SELECT vec_id AS id, label FROM embeddings UNION ALL SELECT vec_id + 100000, label FROM embeddings WHERE vec_id < 50")
+@query("u01_merge_with_offset", "SELECT vec_id AS id, label FROM embeddings UNION ALL SELECT vec_id + 100000, label FROM embeddings WHERE vec_id % 50 = 0")
 def _(spark, sf):
     v = vectors(spark, sf, "label").select("id", "label")
-    return ivf.merge_lists(v, few(v, 50), 100000)
+    return ivf.merge_lists(v, few(v), 100000)
 
 
 @query("u02_remove_and_renumber", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id AS old_id FROM embeddings WHERE vec_id % 4 <> 0")
@@ -587,10 +598,10 @@ def _(spark, sf):
     return own.join(F.broadcast(before), "block").select((F.col("before") + F.col("own") - 1).alias("id"), F.col("id").alias("old_id"))
 
 
-@query("u03_update_by_id", "SELECT vec_id AS id, CASE WHEN vec_id < 20 THEN -1 ELSE label END AS label FROM embeddings")
+@query("u03_update_by_id", "SELECT vec_id AS id, CASE WHEN vec_id % 50 = 0 THEN -1 ELSE label END AS label FROM embeddings")
 def _(spark, sf):
     v = vectors(spark, sf, "label").select("id", "label")
-    new = few(v, 20).withColumn("label", F.lit(-1))
+    new = few(v).withColumn("label", F.lit(-1))
     return v.join(new, "id", "left_anti").unionByName(new)
 
 
@@ -600,7 +611,7 @@ def _(spark, sf):
     return v.crossJoin(F.broadcast(v.agg(F.max("slice").alias("top")))).where("slice > top - 3").drop("top")
 
 
-@query("u06_shards_merged", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10"))
+@query("u06_shards_merged", f"WITH {V} " + s_top(f"SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id % 50 = 0"))
 def _(spark, sf):
     v = vectors(spark, sf)
     parts = [knn.exact_knn(few(v), v.where(F.col("id") % 3 == i), 5) for i in range(3)]
@@ -802,10 +813,10 @@ def _(spark, sf):
 # Functions and evaluation.
 
 
-@query("f03_pairwise_l2", f"WITH {V} SELECT q.id AS a, x.id AS b, round({S_METRICS['l2']}, 6) AS dis FROM v q, v x WHERE q.id < 20 AND x.id < 20")
+@query("f03_pairwise_l2", f"WITH {V} SELECT q.id AS a, x.id AS b, round({S_METRICS['l2']}, 6) AS dis FROM v q, v x WHERE q.id % 50 = 0")
 def _(spark, sf):
-    v = few(vectors(spark, sf), 20)
-    return rounded(knn.pairs(v, v)).select(F.col("qid").alias("a"), F.col("id").alias("b"), "dis")
+    v = vectors(spark, sf)
+    return rounded(knn.pairs(few(v), v)).select(F.col("qid").alias("a"), F.col("id").alias("b"), "dis")
 
 
 @query("f06_norms", f"WITH {V} SELECT id, round({s_ip('vec', 'vec')}, 8) AS n2, round(sqrt({s_ip('vec', 'vec')}), 8) AS n FROM v")
@@ -831,22 +842,22 @@ def _(spark, sf):
     return models.sample(vectors(spark, sf), 64, 7).select("id")
 
 
-@query("e01_recall_of_ivf", f"WITH {L}, f AS ({s_top(S_CAND)}), g AS ({s_top(f'SELECT q.id AS qid, x.id, {S_METRICS["l2"]} AS dis FROM v q, v x WHERE q.id < 10', 1)}) SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.qid = g.qid AND f.id = g.id) THEN 1.0 ELSE 0.0 END) AS recall FROM g")
+@query("e01_recall_of_ivf", f"WITH {L}, f AS ({s_top(S_CAND)}), g AS ({s_top(f'SELECT q.id AS qid, x.id, {S_METRICS["l2"]} AS dis FROM v q, v x WHERE q.id % 50 = 0', 1)}) SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.qid = g.qid AND f.id = g.id) THEN 1.0 ELSE 0.0 END) AS recall FROM g")
 def _(spark, sf):
     v = vectors(spark, sf)
     c = pinned(v)
     return evaluation.recall_at(ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE), knn.exact_knn(few(v), v, 1), 5)
 
 
-@query("e02_intersection", f"WITH {L}, f AS ({s_top(S_CAND)}), g AS ({s_top(f'SELECT q.id AS qid, x.id, {S_METRICS["l2"]} AS dis FROM v q, v x WHERE q.id < 10')}) SELECT g.qid, count(f.id) AS common FROM g LEFT JOIN f ON f.qid = g.qid AND f.id = g.id GROUP BY g.qid")
+@query("e02_intersection", f"WITH {L}, f AS ({s_top(S_CAND)}), g AS ({s_top(f'SELECT q.id AS qid, x.id, {S_METRICS["l2"]} AS dis FROM v q, v x WHERE q.id % 50 = 0')}) SELECT g.qid, count(f.id) AS common FROM g LEFT JOIN f ON f.qid = g.qid AND f.id = g.id GROUP BY g.qid")
 def _(spark, sf):
     v = vectors(spark, sf)
     c = pinned(v)
     return evaluation.intersection(ivf.search(few(v), ivf.build(v, c), c, 5, NPROBE), knn.exact_knn(few(v), v, 5), 5)
 
 
-@query("e04_range_precision_recall", f"""WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis, {S_METRICS['l1']} AS l1 FROM v q, v x WHERE q.id < 10), f AS (SELECT qid, id FROM p WHERE l1 < 8), t AS (SELECT qid, id FROM p WHERE dis < 1.5),
-n AS (SELECT q.id AS qid, (SELECT count(*) FROM f WHERE f.qid = q.id) AS nf, (SELECT count(*) FROM t WHERE t.qid = q.id) AS nt, (SELECT count(*) FROM f JOIN t ON f.qid = t.qid AND f.id = t.id WHERE f.qid = q.id) AS nb FROM v q WHERE q.id < 10)
+@query("e04_range_precision_recall", f"""WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis, {S_METRICS['l1']} AS l1 FROM v q, v x WHERE q.id % 50 = 0), f AS (SELECT qid, id FROM p WHERE l1 < 8), t AS (SELECT qid, id FROM p WHERE dis < 1.5),
+n AS (SELECT q.id AS qid, (SELECT count(*) FROM f WHERE f.qid = q.id) AS nf, (SELECT count(*) FROM t WHERE t.qid = q.id) AS nt, (SELECT count(*) FROM f JOIN t ON f.qid = t.qid AND f.id = t.id WHERE f.qid = q.id) AS nb FROM v q WHERE q.id % 50 = 0)
 SELECT qid, CASE WHEN nf = 0 THEN 1.0 ELSE CAST(nb AS DOUBLE) / nf END AS "precision", CASE WHEN nt = 0 THEN 1.0 ELSE CAST(nb AS DOUBLE) / nt END AS recall FROM n""")
 def _(spark, sf):
     v = vectors(spark, sf)
@@ -867,8 +878,8 @@ def _(spark, sf):
 
 # Series and streams.
 
-P = "pt AS (SELECT CAST(user_id AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events WHERE user_id % 20 = 0)"
-ONE = "pt AS (SELECT 's' AS series_id, event_id AS t, value FROM events WHERE event_id < 600), w AS (SELECT id, vec FROM (SELECT t AS id, list(value) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS vec FROM pt) WHERE len(vec) = 16)"
+P = "pt AS (SELECT CAST(user_id AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events)"
+ONE = "pt AS (SELECT 's' AS series_id, event_id AS t, value FROM events), w AS (SELECT id, vec FROM (SELECT t AS id, list(value) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS vec FROM pt) WHERE len(vec) = 16)"
 
 
 @query("a02_sliding_windows", f"WITH {P}, w AS (SELECT series_id, t AS id, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS vec FROM pt) SELECT series_id, id, vec FROM w WHERE len(vec) = 8")
@@ -876,10 +887,10 @@ def _(spark, sf):
     return series.windows(points(spark, sf), 8)
 
 
-@query("a18_a20_exact_window_scores", f"WITH {ONE}, d AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM w q, w x WHERE q.id < 100 AND abs(q.id - x.id) > 16), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dis, id) AS rank FROM d) SELECT qid AS id, round(var_pop(dis), 3) AS score FROM r WHERE rank <= 5 GROUP BY qid")
+@query("a18_a20_exact_window_scores", f"WITH {ONE}, d AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM w q, w x WHERE q.id % 50 = 0 AND abs(q.id - x.id) > 16), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dis, id) AS rank FROM d) SELECT qid AS id, round(var_pop(dis), 3) AS score FROM r WHERE rank <= 5 GROUP BY qid")
 def _(spark, sf):
     w = series.windows(one_series(spark, sf), 16).select("id", "vec")
-    return rounded(series.exact_scores(few(w, 100), w, 5, 16), "score", digits=3)
+    return rounded(series.exact_scores(few(w), w, 5, 16), "score", digits=3)
 
 
 @query("a34_labelled_events", f"WITH {P}, g AS (SELECT *, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS run FROM pt WHERE label = 1), e AS (SELECT series_id, min(t) AS a, max(t) AS b FROM g GROUP BY series_id, run) SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY a) AS event, greatest(0, a - 7) AS begin, b AS \"end\" FROM e")
@@ -900,10 +911,10 @@ def _(spark, sf):
     return ivf.build(v, pinned(v)).where("id >= 300").select("list_no", "id")
 
 
-@query("a12_code_counts", f"WITH {CB} SELECT CAST(m AS INTEGER) AS m, code, CAST(count(*) AS DOUBLE) AS n FROM e WHERE id < 200 GROUP BY ALL")
+@query("a12_code_counts", f"WITH {CB} SELECT CAST(m AS INTEGER) AS m, code, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY ALL")
 def _(spark, sf):
     v = vectors(spark, sf)
-    n = detector.code_counts(quantizers.encode_pq(few(v, 200), book(v)), M, CODES)
+    n = detector.code_counts(quantizers.encode_pq(v, book(v)), M, CODES)
     return spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(n) for j, x in enumerate(row) if x], "m int, code int, n double")
 
 
@@ -920,16 +931,29 @@ def _(spark, sf):
 
 
 def _scratch(spark: SparkSession) -> str:
+    """A folder for a stream's state: shared, or local where Spark runs on one machine."""
     import tempfile
     import uuid
 
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}" if where else tempfile.mkdtemp(prefix="tessera-stream-")
+    if where:
+        return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tessera-stream-")
+
+
+def _sizes(windows: DataFrame) -> tuple[int, int, int]:
+    """A detector's horizon (half of the windows), batch (at most 5000) and number of lists (the horizon's root)."""
+    n = windows.count()
+    horizon = max(1, n // 2)
+    return horizon, max(1, min(5000, -(-n // 8))), max(1, int(horizon**0.5))
 
 
 def _detect(spark, sf, **options):
     w = series.windows(one_series(spark, sf), 16).select("id", "vec")
-    d = detector.StreamingDetector(_scratch(spark), 16, nlist=8, nprobe=4, k=5, m=4, codes=16, horizon=300, batch=150, nlist_batch=4, n_iter=3, **options)
+    horizon, batch, nlist = _sizes(w)
+    d = detector.StreamingDetector(_scratch(spark), 16, nlist=nlist, nprobe=4, k=5, m=4, codes=16, horizon=horizon, batch=batch, nlist_batch=max(1, nlist // 5), n_iter=3, **options)
     return d.run(w)
 
 
@@ -946,13 +970,14 @@ def _(spark, sf):
 @query("a28_offline_kth_distance")
 def _(spark, sf):
     w = series.windows(one_series(spark, sf), 16).select("id", "vec")
-    return detector.offline_scores(few(w, 100), w, 8, 4, 5, 4, 16, 3)
+    return detector.offline_scores(few(w), w, _sizes(w)[2], 4, 5, 4, 16, 3)
 
 
 @query("a30_online_rebuild")
 def _(spark, sf):
     w = series.windows(one_series(spark, sf), 16).select("id", "vec")
-    return detector.rebuild_scores(w, 16, 8, 4, 5, 4, 16, 300, 300, 2)
+    horizon, batch, nlist = _sizes(w)
+    return detector.rebuild_scores(w, 16, nlist, 4, 5, 4, 16, horizon, 2 * batch, 2)
 
 
 # Configuration and sources.
@@ -1018,7 +1043,7 @@ def _(spark, sf):
     return rounded(knn.refine(found, n, n, 5))
 
 
-@query("j43_list_major_batch_search", f"WITH {L.replace('id < 10', 'id % 5 = 0')} " + s_top(S_CAND, dis="round(dis, 5)"))
+@query("j43_list_major_batch_search", f"WITH {L.replace('id % 50 = 0', 'id % 5 = 0')} " + s_top(S_CAND, dis="round(dis, 5)"))
 def _(spark, sf):
     """All queries of a list meet its entries at once, as matrix products."""
     import pandas as pd
@@ -1065,7 +1090,7 @@ def _(spark, sf):
     return ivf.stacked([(lists, NLIST), (lists, NLIST)])
 
 
-@query("k04_merged_result_tables", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id < 10), a AS ({s_top('SELECT * FROM p WHERE id % 2 = 0', dis='dis')}), b AS ({s_top('SELECT * FROM p WHERE id % 2 = 1', dis='dis')}) " + s_top("SELECT qid, id, dis FROM a UNION ALL SELECT qid, id, dis FROM b"))
+@query("k04_merged_result_tables", f"WITH {V}, p AS (SELECT q.id AS qid, x.id, {S_METRICS['l2']} AS dis FROM v q, v x WHERE q.id % 50 = 0), a AS ({s_top('SELECT * FROM p WHERE id % 2 = 0', dis='dis')}), b AS ({s_top('SELECT * FROM p WHERE id % 2 = 1', dis='dis')}) " + s_top("SELECT qid, id, dis FROM a UNION ALL SELECT qid, id, dis FROM b"))
 def _(spark, sf):
     v = vectors(spark, sf)
     a, b = (knn.exact_knn(few(v), v.where(F.col("id") % 2 == i), 5) for i in range(2))
