@@ -49,7 +49,9 @@ def pairs(queries: DataFrame, base: DataFrame, metric: str = "l2", arg: float |
 
 
 def exact_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", arg: float | None = None, exclude_self: bool = False, zone: int | None = None) -> DataFrame:
-    """(qid, rank, id, dis): the k nearest vectors of each query."""
+    """(qid, rank, id, dis): the k nearest vectors of each query; L2 and inner product by matrix products."""
+    if metric in ("l2", "ip"):
+        return blocked_knn(queries, base, k, metric, exclude_self=exclude_self, zone=zone)
     return top_k(pairs(queries, base, metric, arg, exclude_self, zone), k, metric).select("qid", "rank", "id", "dis")
 
 
@@ -60,27 +62,54 @@ def range_search(queries: DataFrame, base: DataFrame, radius: float, metric: str
     return out.where(dis > radius if metric in distances.SIMILARITIES else (dis < radius) & ~F.isnan(dis))
 
 
-def blocked_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", block: int = 4096, shards: int | None = None) -> DataFrame:
+def _nearest(xs: np.ndarray, ids: np.ndarray, qs: np.ndarray, qids: np.ndarray, k: int, metric: str, zone: int) -> tuple[np.ndarray, ...]:
+    """(query's place, row's place, dis) of each query's k best rows: matrix products choose, differences decide.
+
+    All rows within the products' rounding error of the k-th best are computed exactly, ties go to the smaller id.
+    """
+    norms, out = (xs * xs).sum(1), ([], [], [])
+    for i in range(0, len(qs), 256):  # bounded memory, however many rows
+        part = qs[i : i + 256]
+        own = (part * part).sum(1)
+        d = -(part @ xs.T) if metric == "ip" else own[:, None] + norms[None] - 2 * (part @ xs.T)
+        for j, row in enumerate(d):
+            far = np.abs(ids - qids[i + j]) > zone if zone >= 0 else None
+            if far is not None:
+                row = np.where(far, row, np.inf)
+            good = np.flatnonzero(row < np.inf)  # neither excluded nor NaN
+            if len(good) > k:
+                noise = 1e-12 * (own[j] + norms[good].max() + 1.0) * xs.shape[1]
+                good = good[row[good] <= np.partition(row[good], k - 1)[k - 1] + noise]
+            dis = (xs[good] * part[j]).sum(1) if metric == "ip" else ((xs[good] - part[j]) ** 2).sum(1)
+            best = np.lexsort((ids[good], -dis if metric == "ip" else dis))[:k]
+            out[0].append(np.full(len(best), i + j))
+            out[1].append(good[best])
+            out[2].append(dis[best])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+
+
+def blocked_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", block: int = 4096, shards: int | None = None, exclude_self: bool = False, zone: int | None = None) -> DataFrame:
     """Exact k-NN of a query set of any size by matrix products: (query block, shard) tasks, then a merge.
 
-    Each task holds one block of queries and one shard of vectors. Distances are in double.
+    Each task holds one block of queries and one shard of vectors. Distances are in double; NaN
+    never ranks, null vectors take no part. ``zone``: only rows whose id is further than that from the query's.
     """
     spark = base.sparkSession
+    queries, base = (t.select("id", "vec").where("vec is not null") for t in (queries, base))
     n_blocks = max(1, -(-queries.count() // block))
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     x = base.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     q = q.withColumn("b", F.col("b").cast("int"))
-    sign = -1.0 if metric == "ip" else 1.0
+    apart = zone if zone is not None else 0 if exclude_self else -1
 
     def run(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):
             return pd.DataFrame({"qid": [], "id": [], "dis": []})
-        xs = xs.sort_values("id")
         a, b = (np.stack([np.asarray(v, dtype=np.float64) for v in s]) for s in (qs.qvec, xs.vec))
-        d = a @ b.T if metric == "ip" else np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
-        near = np.argsort(sign * d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"qid": np.repeat(qs.qid.to_numpy(), near.shape[1]), "id": xs.id.to_numpy()[near.ravel()], "dis": np.take_along_axis(d, near, 1).ravel()})
+        qids, ids = qs.qid.to_numpy(), xs.id.to_numpy()
+        query, row, dis = _nearest(b, ids, a, qids, k, metric, apart)
+        return pd.DataFrame({"qid": qids[query], "id": ids[row], "dis": dis})
 
     found = q.groupBy("b", "s").cogroup(x.groupBy("b", "s")).applyInPandas(run, "qid long, id long, dis double")
     return top_k(found, k, metric).select("qid", "rank", "id", "dis")
