@@ -1,10 +1,10 @@
 """Operator 7: exact removal of repeated strings by distributed prefix doubling.
 
 Ranks are names: two positions have one rank at a length when the strings of that length
-that start there are equal. Names are fingerprints of pairs (the rank of the first half and
-the rank at an offset), which a prefix sum over the text gives at every offset, and Spark
-groups positions by them. As in prefix doubling, lengths grow, positions whose rank is
-unique drop out, and the rest is ranked anew until the threshold.
+that start there are equal. Names are fingerprints of the strings themselves, which a prefix sum
+over the text gives at every offset and length, in place of pairs of ranks; Spark groups positions by
+them. As in prefix doubling, lengths grow, positions whose rank is unique drop out, and the rest is
+ranked anew until the threshold; unlike it, no position's rank is sorted beside another's.
 
 To do this without a row for each byte, positions are kept in runs:
 
