@@ -67,20 +67,25 @@ def _nearest(xs: np.ndarray, ids: np.ndarray, qs: np.ndarray, qids: np.ndarray,
 
     All rows within the products' rounding error of the k-th best are computed exactly, ties go to the smaller id.
     """
-    norms, out = (xs * xs).sum(1), ([], [], [])
+    whole = np.isfinite(xs).all(axis=1)
+    odd = np.flatnonzero(~whole)  # NaN or infinite: no product chooses them, all are computed
+    plain = np.where(whole[:, None], xs, 0.0)
+    norms, out = (plain * plain).sum(1), ([], [], [])
     for i in range(0, len(qs), 256):  # bounded memory, however many rows
-        part = qs[i : i + 256]
+        part = np.where(np.isfinite(qs[i : i + 256]), qs[i : i + 256], 0.0)
         own = (part * part).sum(1)
-        d = -(part @ xs.T) if metric == "ip" else own[:, None] + norms[None] - 2 * (part @ xs.T)
+        d = -(part @ plain.T) if metric == "ip" else own[:, None] + norms[None] - 2 * (part @ plain.T)
         for j, row in enumerate(d):
-            far = np.abs(ids - qids[i + j]) > zone if zone >= 0 else None
-            if far is not None:
-                row = np.where(far, row, np.inf)
-            good = np.flatnonzero(row < np.inf)  # neither excluded nor NaN
-            if len(good) > k:
+            query = qs[i + j]
+            apart = np.abs(ids - qids[i + j]) > zone
+            good = np.flatnonzero(apart & whole)
+            if len(good) > k and np.isfinite(query).all():
                 noise = 1e-12 * (own[j] + norms[good].max() + 1.0) * xs.shape[1]
                 good = good[row[good] <= np.partition(row[good], k - 1)[k - 1] + noise]
-            dis = (xs[good] * part[j]).sum(1) if metric == "ip" else ((xs[good] - part[j]) ** 2).sum(1)
+            good = np.concatenate([good, odd[apart[odd]]])
+            with np.errstate(invalid="ignore"):
+                dis = (xs[good] * query).sum(1) if metric == "ip" else ((xs[good] - query) ** 2).sum(1)
+            good, dis = good[~np.isnan(dis)], dis[~np.isnan(dis)]
             best = np.lexsort((ids[good], -dis if metric == "ip" else dis))[:k]
             out[0].append(np.full(len(best), i + j))
             out[1].append(good[best])
