@@ -48,11 +48,9 @@ def differing_bytes(a: Column, b: Column) -> Column:
 
 
 def pairs(queries: DataFrame, base: DataFrame, distance=hamming) -> DataFrame:
-    """(qid, id, dis) over all pairs; queries (id, code) are few and counted."""
+    """(qid, id, dis) over all pairs of queries and rows (id, code)."""
     q = queries.select(F.col("id").alias("qid"), F.col("code").alias("qcode"))
-    if q.limit(knn.BROADCAST_ROWS + 1).count() > knn.BROADCAST_ROWS:
-        raise ValueError("too many queries to broadcast")
-    return base.select("id", "code").crossJoin(F.broadcast(q)).select("qid", "id", distance(F.col("qcode"), F.col("code")).cast("double").alias("dis"))
+    return knn.beside(base.select("id", "code"), q).select("qid", "id", distance(F.col("qcode"), F.col("code")).cast("double").alias("dis"))
 
 
 def search(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:

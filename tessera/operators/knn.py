@@ -1,8 +1,8 @@
 """Exact nearest-neighbour and range joins between a query set and a vector set.
 
 Frames have ``id`` (long) and ``vec`` (array of float). A query set is small next to the
-vector set; it is broadcast only under ``BROADCAST_ROWS`` rows, counted first. Beyond
-that, queries go in blocks to every partition of vectors (``blocked_knn``).
+vector set; it is broadcast only under ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES``, counted first.
+Beyond that, queries go to every shard of vectors (``beside``, ``blocked_knn``).
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import distances
 
-#: A query set of more rows is dealt in blocks instead of broadcast.
+#: A query set of more rows, or more bytes of tables beside them, is dealt to shards instead of broadcast.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 1 << 26
+#: Rows of a shard that a task holds as a matrix.
+SHARD_ROWS = 1 << 16
 
 
 def _order(metric: str):
@@ -35,12 +38,24 @@ def top_k(pairs: DataFrame, k: int, metric: str = "l2", by: tuple[str, ...] = ("
     return good.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def beside(base: DataFrame, queries: DataFrame, counted: DataFrame | None = None, row_bytes: int = 0) -> DataFrame:
+    """Every row of ``base`` (with an id) beside every row of ``queries``.
+
+    Few queries are broadcast; more are sent once to each of as many shards of ``base`` as there are shuffle
+    partitions. ``counted``: a cheaper frame of as many rows; ``row_bytes``: what a row holds beyond a vector.
+    """
+    most = min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes) if row_bytes else BROADCAST_ROWS
+    if (queries if counted is None else counted).limit(most + 1).count() <= most:
+        return base.crossJoin(F.broadcast(queries))
+    shards = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = queries.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return base.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).join(dealt, "_shard").drop("_shard")
+
+
 def pairs(queries: DataFrame, base: DataFrame, metric: str = "l2", arg: float | None = None, exclude_self: bool = False, zone: int | None = None) -> DataFrame:
-    """(qid, id, dis) of every query against every vector: a nested loop over a checked broadcast."""
+    """(qid, id, dis) of every query against every vector."""
     q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    if q.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("too many queries to broadcast; use blocked_knn")
-    out = base.select("id", "vec").crossJoin(F.broadcast(q))
+    out = beside(base.select("id", "vec"), q)
     if exclude_self:
         out = out.where("id <> qid")
     if zone is not None:
@@ -96,13 +111,13 @@ def _nearest(xs: np.ndarray, ids: np.ndarray, qs: np.ndarray, qids: np.ndarray,
 def blocked_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", block: int = 4096, shards: int | None = None, exclude_self: bool = False, zone: int | None = None) -> DataFrame:
     """Exact k-NN of a query set of any size by matrix products: (query block, shard) tasks, then a merge.
 
-    Each task holds one block of queries and one shard of vectors. Distances are in double; NaN
-    never ranks, null vectors take no part. ``zone``: only rows whose id is further than that from the query's.
+    Each task holds one block of queries and one shard of about ``SHARD_ROWS`` vectors at most. Distances are in
+    double; NaN never ranks, null vectors take no part. ``zone``: only rows whose id is further than that from the query's.
     """
     spark = base.sparkSession
     queries, base = (t.select("id", "vec").where("vec is not null") for t in (queries, base))
     n_blocks = max(1, -(-queries.count() // block))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // SHARD_ROWS))
     q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     x = base.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     q = q.withColumn("b", F.col("b").cast("int"))
