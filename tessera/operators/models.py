@@ -7,13 +7,20 @@ aggregation over partial sums.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import Files, cut
+
+#: A training sample of at most so many values (rows times dimensions) and so many products (values times centroids)
+#: a round is trained on the driver; a larger one by one distributed aggregation a round.
+LOCAL_VALUES, LOCAL_PRODUCTS = 1 << 21, 1 << 28
+
 
 def sample_order(seed: int, key: str = "id") -> Column:
     """An order of rows that any engine can compute."""
@@ -70,23 +77,58 @@ def centroid_update(assigned: DataFrame, weight: str | None = None) -> DataFrame
     return sums.groupBy("list_no").agg(F.max("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("vec"))
 
 
-def _partial_sums(shared, spherical: bool):
+def _sums(x: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weighted sums and sizes of each centroid's points, and the points' summed squared distance."""
+    d = squared_distances(x, c)
+    near = d.argmin(axis=1)
+    sums = np.zeros_like(c)
+    np.add.at(sums, near, x * w[:, None])
+    return sums, np.bincount(near, w, len(c)), float((d[np.arange(len(x)), near] * w).sum())
+
+
+def _partial_sums(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         sums, counts, cost = np.zeros_like(c), np.zeros(len(c)), 0.0
         for pdf in batches:
             if len(pdf):
-                x, w = matrix(pdf.vec), pdf.w.to_numpy(float)
-                d = squared_distances(x, c)
-                near = d.argmin(axis=1)
-                np.add.at(sums, near, x * w[:, None])
-                counts += np.bincount(near, w, len(c))
-                cost += float((d[np.arange(len(x)), near] * w).sum())
+                more = _sums(matrix(pdf.vec), pdf.w.to_numpy(float), c)
+                sums, counts, cost = sums + more[0], counts + more[1], cost + more[2]
         yield pd.DataFrame({"sums": [sums.ravel()], "counts": [counts], "cost": [cost]})
 
     return run
 
 
+def _distributed_sums(data: DataFrame, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    shared = data.sparkSession.sparkContext.broadcast(c)
+    parts = data.mapInPandas(_partial_sums(shared), "sums array<double>, counts array<double>, cost double")
+    fold = lambda f, m: F.reduce(F.collect_list(f), F.array_repeat(F.lit(0.0), m), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(f)
+    rows = parts.groupBy(F.spark_partition_id() % 64).agg(fold("sums", c.size), fold("counts", len(c)), F.sum("cost").alias("cost")).collect()  # at most 64 model-sized rows
+    return sum(np.array(r.sums) for r in rows).reshape(c.shape), sum(np.array(r.counts) for r in rows), sum(r.cost for r in rows)
+
+
+def _moved(c: np.ndarray, sums: np.ndarray, counts: np.ndarray, rng: np.random.Generator, spherical: bool, whole: bool) -> tuple[np.ndarray, int]:
+    """(new centroids, splits)."""
+    c = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1e-300)[:, None], c)
+    splits = split_empty(c, counts, rng)
+    if spherical:
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+    return (np.rint(c) if whole else c), splits
+
+
+def _first(ids: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Places of the first n ids in sample order."""
+    return np.array(sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"{ids[i]}:{seed}".encode()).hexdigest(), ids[i]))[:n])
+
+
+def _local_kmeans(x: np.ndarray, ids: np.ndarray, k: int, n_iter: int, seed: int) -> np.ndarray:
+    c = x[_first(ids, k, seed)]
+    for it in range(n_iter):
+        sums, counts, _ = _sums(x, np.ones(len(x)), c)
+        c, _ = _moved(c, sums, counts, np.random.default_rng((seed, it)), False, False)
+    return c
+
+
 def split_empty(c: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> int:
     """Empty clusters take half of a large one, drawn by size, moved apart by 1/1024."""
     empty = np.flatnonzero(counts == 0)
@@ -104,43 +146,51 @@ def imbalance(counts: np.ndarray) -> float:
 
 
 def kmeans(vectors: DataFrame, k: int, n_iter: int = 25, n_redo: int = 1, seed: int = 1234, spherical: bool = False, whole: bool = False, frozen: bool = False,
-           weight: str | None = None, start: np.ndarray | None = None, max_points: int = 256) -> tuple[np.ndarray, list[dict]]:
+           weight: str | None = None, start: np.ndarray | None = None, max_points: int = 256, resume: str | None = None) -> tuple[np.ndarray, list[dict]]:
     """Lloyd's k-means: (centroids, statistics of each iteration).
 
     Trains on at most ``max_points * k`` rows in sample order, as many as a clustering needs. Errors: fewer rows
     than k; NaN or infinite components. ``whole`` rounds centroids, ``spherical`` puts them on
-    the unit sphere, ``frozen`` only reports the starting centroids.
+    the unit sphere, ``frozen`` only reports the starting centroids. ``resume``: a folder in which each iteration's
+    centroids are written; a training that was broken off goes on from the last one (with one run, ``n_redo`` 1).
     """
+    if resume and n_redo > 1:
+        raise ValueError("a training in several runs cannot be resumed")
     w = F.col(weight) if weight else F.lit(1.0)
     data = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), w.cast("double").alias("w"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    n, n_bad = data.agg(F.count("*"), F.sum(bad.cast("int"))).first()
+    n, n_bad, d = data.agg(F.count("*"), F.sum(bad.cast("int")), F.max(F.size("vec"))).first()
     if n < k:
         raise ValueError(f"{n} points for {k} clusters")
     if n_bad:
         raise ValueError("points hold NaN or infinite values")
-    if n > max_points * k:
-        data = sample(data, max_points * k, seed)
-    data = data.persist()
+    n_used = min(n, max_points * k)
+    if n > n_used:
+        data = sample(data, n_used, seed)
+    local = n_used * d <= LOCAL_VALUES and n_used * d * k <= LOCAL_PRODUCTS
+    if local:
+        rows = data.collect()  # at most LOCAL_VALUES numbers
+        ids, x, ws = [r.id for r in rows], np.array([r.vec for r in rows], dtype=np.float64), np.array([r.w for r in rows])
+    else:
+        data = data.persist()
     best = None
     try:
         for redo in range(n_redo):
-            c = pinned_centroids(data, k, seed + redo) if start is None else start.astype(np.float64).copy()
-            rng, stats = np.random.default_rng(seed + redo), []
-            for it in range(0 if frozen else n_iter):
-                shared = data.sparkSession.sparkContext.broadcast(c)
-                parts = data.mapInPandas(_partial_sums(shared, spherical), "sums array<double>, counts array<double>, cost double")
-                folded = parts.groupBy(F.spark_partition_id() % 64).agg(
-                    *[F.transform(F.reduce(F.collect_list(f), F.array_repeat(F.lit(0.0), m), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)), lambda x: x).alias(f) for f, m in (("sums", c.size), ("counts", k))], F.sum("cost").alias("cost")
-                ).collect()  # at most 64 model-sized rows
-                sums, counts = (sum(np.array(r[f]) for r in folded) for f in ("sums", "counts"))
-                c = np.where(counts[:, None] > 0, sums.reshape(c.shape) / np.maximum(counts, 1e-300)[:, None], c)
-                stat = {"iteration": it, "objective": sum(r.cost for r in folded), "imbalance": imbalance(counts)}
-                stats.append(stat | {"splits": split_empty(c, counts, rng)})
-                if spherical:
-                    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-                if whole:
-                    c = np.rint(c)
+            c = start.astype(np.float64).copy() if start is not None else x[_first(ids, k, seed + redo)] if local else pinned_centroids(data, k, seed + redo)
+            stats, done = [], -1
+            if resume:
+                files = Files(vectors.sparkSession, resume)
+                done = max((int(f[6:]) for f in files.names() if f.startswith("round=") and files.exists(f"{f}/_SUCCESS")), default=-1)
+                if done >= 0:
+                    held = vectors.sparkSession.read.parquet(f"{resume}/round={done}").orderBy("list_no").collect()  # k rows
+                    c = np.array([r.vec for r in held])
+            for it in range(done + 1, 0 if frozen else n_iter):
+                sums, counts, cost = _sums(x, ws, c) if local else _distributed_sums(data, c)
+                stat = {"iteration": it, "objective": cost, "imbalance": imbalance(counts)}
+                c, splits = _moved(c, sums, counts, np.random.default_rng((seed + redo, it)), spherical, whole)
+                stats.append(stat | {"splits": splits})
+                if resume:
+                    vectors.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "list_no int, vec array<double>").write.mode("overwrite").parquet(f"{resume}/round={it}")
             if best is None or (stats and stats[-1]["objective"] < best[1][-1]["objective"]):
                 best = (c, stats)
     finally:
@@ -148,6 +198,32 @@ def kmeans(vectors: DataFrame, k: int, n_iter: int = 25, n_redo: int = 1, seed:
     return best
 
 
+def progressive_kmeans(vectors: DataFrame, k: int, rotation: np.ndarray, steps: int = 4, n_iter: int = 5, seed: int = 1234) -> np.ndarray:
+    """k centroids, trained over ever more leading dimensions of the rotated vectors, each step from the last one's.
+
+    ``rotation`` is an orthonormal (d, d) matrix whose leading rows carry most variance (``transforms.pca``). Widths grow
+    geometrically from 1 to d; new dimensions start at 0. The centroids are returned in the vectors' own space.
+    """
+    d = len(rotation)
+    rotate = _rotated(vectors.sparkSession.sparkContext.broadcast(rotation))
+    turned = cut(vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(rotate, "id long, vec array<double>"))
+    c = np.zeros((k, 0))
+    for width in sorted({max(1, round(d ** (i / steps))) for i in range(1, steps + 1)}):
+        part = turned.select("id", F.slice("vec", 1, width).alias("vec"))
+        start = np.hstack([c, np.zeros((k, width - c.shape[1]))]) if c.shape[1] else None
+        c, _ = kmeans(part, k, n_iter, seed=seed, start=start)
+    return c @ rotation
+
+
+def _rotated(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf.id, "vec": list(matrix(pdf.vec) @ shared.value.T)})
+
+    return run
+
+
 def exact_kmeans_1d(values: np.ndarray, k: int) -> tuple[np.ndarray, float]:
     """Optimal one-dimensional k-means over distinct values' multiset (dynamic programme, divide and conquer)."""
     x = np.sort(np.asarray(values, dtype=np.float64))
@@ -179,18 +255,25 @@ def exact_kmeans_1d(values: np.ndarray, k: int) -> tuple[np.ndarray, float]:
     return np.array([(s[b] - s[a]) / (b - a) for a, b in zip(edges[:-1], edges[1:])]), float(max(best[n], 0.0))
 
 
-def two_level_kmeans(vectors: DataFrame, k1: int, k: int, n_iter: int = 10, seed: int = 1234) -> np.ndarray:
-    """k centroids: k1 clusters first, each then split into its share of k by size (cumulative rounding)."""
+def two_level_kmeans(vectors: DataFrame, k1: int, k: int, n_iter: int = 10, seed: int = 1234, max_points: int = 256) -> np.ndarray:
+    """k centroids: k1 clusters first, each then split into its share of k by size (cumulative rounding).
+
+    All clusters are split in one grouped pass; a task holds ``max_points`` rows a centroid of its cluster, in sample order.
+    """
     coarse, _ = kmeans(vectors, k1, n_iter, seed=seed)
-    placed = assign(vectors, coarse)
+    placed = assign(vectors, coarse).select("list_no", "id", "vec")
     sizes = np.zeros(k1)
     for r in placed.groupBy("list_no").count().collect():
         sizes[r.list_no] = r["count"]
     ends = np.rint(np.cumsum(sizes) / sizes.sum() * k).astype(int)
-    share = np.diff(np.concatenate([[0], ends]))
-    out = []
-    for i in np.flatnonzero(share):
-        sub = placed.where(F.col("list_no") == int(i)).select("id", "vec")
-        m = int(min(share[i], sizes[i]))
-        out.append(kmeans(sub, m, n_iter, seed=seed)[0] if m > 1 else coarse[i : i + 1])
-    return np.concatenate(out)
+    share = np.minimum(np.diff(np.concatenate([[0], ends])), sizes).astype(int)
+    held = placed.withColumn("r", F.row_number().over(Window.partitionBy("list_no").orderBy(sample_order(seed), "id"))).where(F.col("r") <= max_points * int(share.max()))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = int(share[key[0]])
+        pdf = pdf[pdf.r <= max_points * m]
+        c = _local_kmeans(matrix(pdf.vec), pdf.id.to_numpy(), m, n_iter, seed) if m > 1 else coarse[key[0] : key[0] + m]
+        return pd.DataFrame({"list_no": key[0], "place": np.arange(len(c)), "vec": list(c)})
+
+    rows = held.groupBy("list_no").applyInPandas(run, "list_no int, place long, vec array<double>").collect()  # k rows at most
+    return np.array([r.vec for r in sorted(rows, key=lambda r: (r.list_no, r.place))])
