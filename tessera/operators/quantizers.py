@@ -81,13 +81,46 @@ def adc(lut: Column, code: Column) -> Column:
     return F.aggregate(F.zip_with(lut, code, lambda t, c: F.get(t, c)), F.lit(0.0), lambda s, v: s + v)
 
 
+def nearest_codes(probed: DataFrame, lists: DataFrame, codebook: np.ndarray, k: int, zone: int = -1) -> DataFrame:
+    """(qid, id, q2c, o2c, dis): each query's k entries of its probed lists nearest by tables, ties to the smaller id.
+
+    ``probed`` holds (qid, qvec, list_no, q2c), ``lists`` (list_no, id, code, o2c); only ids further than ``zone`` from
+    the query's take part. A task makes the tables of the queries that probe its part of a list, gathers their sums and
+    sends k rows a query on. Long lists are cut into parts of about ``knn.SHARD_ROWS`` rows; no table crosses the network.
+    """
+    shared = lists.sparkSession.sparkContext.broadcast(codebook)
+    m, _, sub = codebook.shape
+    sizes = lists.groupBy("list_no").agg(F.ceil(F.count("*") / knn.SHARD_ROWS).cast("int").alias("parts"))
+    held = lists.join(sizes, "list_no").select("list_no", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "code", "o2c")
+    asked = probed.join(sizes, "list_no").select("list_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qid", "qvec", "q2c")
+
+    def run(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
+        out = {"qid": [], "id": [], "q2c": [], "o2c": [], "dis": []}
+        if len(qs) and len(xs):
+            ids, codes, o2c = xs.id.to_numpy(), np.stack(xs.code.to_list()), xs.o2c.to_numpy()
+            for qid, q2c, v in zip(qs.qid, qs.q2c, models.matrix(qs.qvec).reshape(len(qs), m, sub)):
+                dis = np.zeros(len(ids))
+                for i in range(m):
+                    dis += models.squared_distances(v[i : i + 1], shared.value[i])[0][codes[:, i]]
+                good = np.flatnonzero((np.abs(ids - qid) > zone) & ~np.isnan(dis))
+                if len(good) > k:
+                    good = good[dis[good] <= np.partition(dis[good], k - 1)[k - 1]]
+                good = good[np.lexsort((ids[good], dis[good]))[:k]]
+                for name, value in (("qid", np.full(len(good), qid)), ("id", ids[good]), ("q2c", np.full(len(good), q2c)), ("o2c", o2c[good]), ("dis", dis[good])):
+                    out[name].append(value)
+        return pd.DataFrame({n: np.concatenate(x) if x else [] for n, x in out.items()})
+
+    found = asked.groupBy("list_no", "part").cogroup(held.groupBy("list_no", "part")).applyInPandas(run, "qid long, id long, q2c double, o2c double, dis double")
+    return knn.top_k(found, k).drop("rank")
+
+
 def search_pq(queries: DataFrame, codes: DataFrame, codebook: np.ndarray, k: int, metric: str = "l2", most_bits: int | None = None) -> DataFrame:
     """k-NN by asymmetric distances to codes (id, code); ``most_bits``: a polysemous filter on differing code bits."""
     t = tables(queries, codebook, metric)
     if most_bits is not None:
         own = encode_pq(queries, codebook).select(F.col("id").alias("qid"), F.col("code").alias("qcode"))
         t = t.join(own, "qid")
-    pairs = codes.select("id", "code").crossJoin(F.broadcast(t))
+    pairs = knn.beside(codes.select("id", "code"), t, queries, codebook.shape[0] * codebook.shape[1] * 8)
     if most_bits is not None:
         differ = F.aggregate(F.zip_with("qcode", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
         pairs = pairs.where(differ < most_bits)
@@ -108,7 +141,7 @@ def search_sdc(queries: DataFrame, codes: DataFrame, codebook: np.ndarray, k: in
             yield pd.DataFrame({"qid": pdf.id, "lut": [[shared.value[i][c].tolist() for i, c in enumerate(code)] for code in pdf.code]})
 
     luts = encode_pq(queries, codebook).select("id", "code").mapInPandas(run, "qid long, lut array<array<double>>")
-    pairs = codes.select("id", "code").crossJoin(F.broadcast(luts))
+    pairs = knn.beside(codes.select("id", "code"), luts, queries, table[:, 0].size * 8)
     return knn.top_k(pairs.select("qid", "id", adc(F.col("lut"), F.col("code")).alias("dis")), k).select("qid", "rank", "id", "dis")
 
 
@@ -268,7 +301,7 @@ def search_additive(queries: DataFrame, codes: DataFrame, books: np.ndarray, k:
                 yield pd.DataFrame({"qid": pdf.id, "q2": (x * x).sum(axis=1), "lut": [(-2 * (shared.value @ v)).tolist() for v in x]})
 
     t = queries.select("id", "vec").mapInPandas(run, "qid long, q2 double, lut array<array<double>>")
-    pairs = codes.select("id", "code", "norm").crossJoin(F.broadcast(t))
+    pairs = knn.beside(codes.select("id", "code", "norm"), t, queries, books.shape[0] * books.shape[1] * 8)
     dis = F.col("q2") + F.col("norm") + adc(F.col("lut"), F.col("code"))
     return knn.top_k(pairs.select("qid", "id", dis.alias("dis")), k).select("qid", "rank", "id", "dis")
 

@@ -247,9 +247,8 @@ d AS (SELECT p.qid, l.id, e.m, t.dis FROM pr p JOIN l ON p.list_no = l.list_no J
 def _(spark, sf):
     v = vectors(spark, sf)
     c, b = pinned(v), book(v)
-    lists = quantizers.encode_pq(ivf.build(v, c), b, "list_no")
-    p = ivf.probes(few(v), c, NPROBE).drop("qvec").join(lists.select("list_no", "id", "code"), "list_no").join(quantizers.tables(few(v), b), "qid")
-    return rounded(knn.top_k(p.select("qid", "id", quantizers.adc(F.col("lut"), F.col("code")).alias("dis")), 5).select("qid", "rank", "id", "dis"), digits=4)
+    lists = quantizers.encode_pq(ivf.build(v, c), b, "list_no", "o2c")
+    return rounded(knn.top_k(quantizers.nearest_codes(ivf.probes(few(v), c, NPROBE), lists, b, 5), 5).select("qid", "rank", "id", "dis"), digits=4)
 
 
 S_ADC = f"WITH {CB}, p AS (SELECT t.id AS qid, e.id, sum(t.dis) AS dis FROM t JOIN e ON t.m = e.m AND t.code = e.code WHERE t.id % 50 = 0 GROUP BY 1, 2) "
@@ -771,6 +770,35 @@ def _(spark, sf):
     return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "list_no int, vec array<double>")
 
 
+@query("c05_progressive_kmeans", "SELECT true AS close")
+def _(spark, sf):
+    """Training over growing dimensions ends near plain training over all of them."""
+    v = vectors(spark, sf)
+    cost = lambda c: models.assign(v, c).agg(F.sum("dis")).first()[0]
+    a, _ = transforms.pca(v, len(pinned(v)[0]))
+    plain, _ = models.kmeans(v, NLIST, 6)
+    return spark.createDataFrame([(cost(models.progressive_kmeans(v, NLIST, a)) < 1.05 * cost(plain),)], "close boolean")
+
+
+@query("c08_resumed_kmeans", "SELECT true AS same")
+def _(spark, sf):
+    """A training that was broken off after two rounds ends where an unbroken one does."""
+    v, where = vectors(spark, sf), _scratch(spark)
+    models.kmeans(v, NLIST, 2, resume=where)
+    c, stats = models.kmeans(v, NLIST, 5, resume=where)
+    plain, _ = models.kmeans(v, NLIST, 5)
+    return spark.createDataFrame([(len(stats) == 3 and bool(np.allclose(c, plain)),)], "same boolean")
+
+
+@query("j39_binary_graphs_find_most", "SELECT true AS most")
+def _(spark, sf):
+    """Navigable graphs over bits (squared distance of bits = Hamming distance) find at least 0.9 of the exact distances."""
+    x = vectors(spark, sf).select("id", F.transform("vec", lambda v: (v > 0).cast("double")).alias("vec"))
+    found = graphs.sharded_graph_search(few(x), x, 5).select("qid", "rank", F.col("dis").alias("got"))
+    hits = knn.exact_knn(few(x), x, 5).join(found, ["qid", "rank"], "left").agg(F.avg((F.col("got") == F.col("dis")).cast("int").cast("double")).alias("r"), F.avg(F.col("got").isNotNull().cast("int")).alias("n"))
+    return hits.select(((F.col("r") >= 0.9) & (F.col("n") == 1)).alias("most"))
+
+
 @query("t04_pca")
 def _(spark, sf):
     v = vectors(spark, sf)
@@ -1028,9 +1056,8 @@ f AS ({s_top('SELECT * FROM d', 20)}) {s_top(f"SELECT f.qid, f.id, {S_METRICS['l
 def _(spark, sf):
     v = vectors(spark, sf)
     c, b = pinned(v), book(v)
-    lists = quantizers.encode_pq(ivf.build(v, c), b, "list_no")
-    p = ivf.probes(few(v), c, NPROBE).drop("qvec").join(lists.select("list_no", "id", "code"), "list_no").join(quantizers.tables(few(v), b), "qid")
-    first = knn.top_k(p.select("qid", "id", quantizers.adc(F.col("lut"), F.col("code")).alias("dis")), 20)
+    lists = quantizers.encode_pq(ivf.build(v, c), b, "list_no", "o2c")
+    first = quantizers.nearest_codes(ivf.probes(few(v), c, NPROBE), lists, b, 20)
     return rounded(knn.refine(first, v, v, 5))
 
 

@@ -152,3 +152,38 @@ def test_descriptions():
 
 def test_two_level(spark, x):
     assert models.two_level_kmeans(frame(spark, x), 3, 9, 3).shape == (9, 16)
+
+
+def test_many_queries_meet_every_row_shard_by_shard(spark, monkeypatch):
+    x = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)]) for i in range(40)], "id long, vec array<double>")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    few = {m: key(knn.exact_knn(x, x, 4, m)) for m in ("l1", "l2")}, key(knn.range_search(x, x, 3.0))
+    book = models.pinned_centroids(x, 3).reshape(1, 3, 2)
+    codes = quantizers.encode_pq(x, book)
+    near = key(quantizers.search_pq(x, codes, book, 4))
+    monkeypatch.setattr(knn, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(knn, "SHARD_ROWS", 7)
+    assert ({m: key(knn.exact_knn(x, x, 4, m)) for m in ("l1", "l2")}, key(knn.range_search(x, x, 3.0))) == few
+    assert key(quantizers.search_pq(x, codes, book, 4)) == near
+
+
+def test_nearest_codes_equal_a_join_of_tables(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_ROWS", 9)  # a list in several parts
+    rng = np.random.default_rng(4)
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 4)))], "id long, vec array<double>")
+    c, book = models.pinned_centroids(x, 3), models.pinned_centroids(x, 5).reshape(5, 2, 2).transpose(1, 0, 2)
+    lists = quantizers.encode_pq(ivf.build(x, c), book, "list_no", "o2c")
+    p = ivf.probes(x, c, 2)
+    got = sorted((r.qid, r.id, r.dis) for r in quantizers.nearest_codes(p, lists, book, 4, 2).collect())
+    joined = p.drop("qvec").join(lists.select("list_no", "id", "code"), "list_no").where("abs(id - qid) > 2").join(quantizers.tables(x, book), "qid")
+    want = knn.top_k(joined.select("qid", "id", quantizers.adc(joined.lut, joined.code).alias("dis")), 4)
+    assert got == sorted((r.qid, r.id, r.dis) for r in want.collect())
+
+
+def test_kmeans_is_the_same_on_the_driver_and_distributed(spark, monkeypatch):
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(80, 3)))], "id long, vec array<double>")
+    c, stats = models.kmeans(x, 6, 4)
+    monkeypatch.setattr(models, "LOCAL_VALUES", 0)
+    far, more = models.kmeans(x, 6, 4)
+    assert np.allclose(c, far) and np.allclose([s["objective"] for s in stats], [s["objective"] for s in more])
+    assert models.two_level_kmeans(x, 3, 8, 3).shape == (8, 3)

@@ -19,6 +19,11 @@ def test_text_series(spark, tmp_path):
     f = tmp_path / "s.out"
     f.write_text("3\r\n1.5,0\r\n-1,1\n2,0\n\n")
     assert [tuple(r)[1:] for r in series.read_text(spark, str(f)).orderBy("t").collect()] == [(0, 1.5, 0), (1, -1.0, 1), (2, 2.0, 0)]
+    f.write_text("200\n" + "".join(f"{i},0\n" for i in range(200)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")  # many blocks
+    got = series.read_text(spark, str(f))
+    assert got.rdd.getNumPartitions() > 1 and [(r.t, r.value) for r in got.orderBy("t").collect()] == [(i, float(i)) for i in range(200)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     f.write_text("4\n1,0\n")
     with pytest.raises(ValueError):
         series.read_text(spark, str(f))
@@ -69,6 +74,24 @@ def test_stream_equals_batches(spark, tmp_path):
     assert all((got[i] is None) == (want[i] is None) and (got[i] is None or abs(got[i] - want[i]) < 1e-9) for i in got)
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    w = _windows(spark)
+    src, where, marks = tmp_path / "in", tmp_path / "stream", str(tmp_path / "checkpoint")
+    src.mkdir()
+    stream = spark.readStream.schema(w.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    want = {r.id: r.score for r in _detector(tmp_path / "loop").run(w).where("batch < 3").collect()}
+    for lo, hi in ((0, 420), (420, 600)):
+        w.where(f"id >= {lo} and id < {hi}").coalesce(1).write.mode("append").parquet(str(src))
+        q = _detector(where).start(stream, marks)  # a new object: nothing held from before
+        q.processAllAvailable()
+        q.stop()
+    got = {r.id: r.score for r in spark.read.parquet(str(where / "scores")).collect()}
+    assert set(got) == set(want) == set(range(500))
+    assert all((got[i] is None) == (want[i] is None) and (got[i] is None or abs(got[i] - want[i]) < 1e-9) for i in got)
+    assert {f.name for f in where.iterdir()} == {"scores", "buffer", "model=2", "version=2"}
+    assert [f.name for f in (where / "buffer").iterdir()] == ["micro=1"]  # ids from 500 on wait for their batch
+
+
 def test_event_precision(spark):
     labels = spark.createDataFrame([("s", t, int(t in (10, 11, 30))) for t in range(50)], "series_id string, t long, label int")
     e = evaluation.events(labels, 4)
