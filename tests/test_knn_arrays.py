@@ -15,7 +15,7 @@ def table(spark):
     return spark.createDataFrame(list(enumerate(vecs)), "id long, vec array<double>")
 
 
-@pytest.mark.parametrize("metric, arg", [("braycurtis", None), ("canberra", None), ("jaccard", None), ("jensenshannon", None), ("nan_euclidean", None), ("l1", None)])
+@pytest.mark.parametrize("metric, arg", [("braycurtis", None), ("canberra", None), ("jaccard", None), ("jensenshannon", None), ("nan_euclidean", None), ("l1", None), ("lp", 3.0), ("lp", 1.5)])
 def test_arrays_give_the_pairs_results_without_a_join_of_all(table, metric, arg):
     queries = table.where("id % 5 = 0")
     got = knn.exact_knn(queries, table, 4, metric, arg)
