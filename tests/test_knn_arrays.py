@@ -23,3 +23,14 @@ def test_arrays_give_the_pairs_results_without_a_join_of_all(table, metric, arg)
     want = knn.top_k(knn.pairs(queries, table, metric, arg), 4, metric)
     plain = lambda t: sorted((r.qid, r["rank"], r.id, round(r.dis, 9)) for r in t.collect())
     assert plain(got) == plain(want)
+
+
+def test_first_results_of_a_range(table):
+    queries = table.where("id % 5 = 0")
+    for metric, radius in (("l2", 90.0), ("ip", 40.0)):
+        whole = sorted(((r.dis, r.qid, r.id) for r in knn.range_search(queries, table, radius, metric).collect()), key=lambda r: (-r[0] if metric == "ip" else r[0], *r[1:]))
+        pairs = knn.pairs(queries, table, metric).where(~F.isnan("dis") & ((F.col("dis") > radius) if metric == "ip" else (F.col("dis") < radius)))
+        assert sorted((r.dis, r.qid, r.id) for r in pairs.collect()) == sorted(whole) and len(whole) > 100
+        got = knn.range_search(queries, table, radius, metric, first=101)
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+        assert [(r.dis, r.qid, r.id) for r in got.collect()] == whole[:101]
