@@ -28,6 +28,12 @@ def test_a_run_makes_its_windows_once(windows, tmp_path):
     assert not (tmp_path / "a" / "windows").exists()
 
 
+def test_scores_first_makes_its_windows_once(windows, tmp_path):
+    w, made = windows
+    d = detector.StreamingDetector(str(tmp_path / "a"), 8, nlist=6, nprobe=3, k=3, m=4, codes=8, horizon=120, batch=60, nlist_batch=3, n_iter=2, score_first=True)
+    assert d.run(w).count() == 253 and made.value == 253
+
+
 def test_nearest_centroids_are_those_of_the_differences():
     rng = np.random.default_rng(6)
     x, c = rng.integers(0, 4, (300, 5)).astype(float), rng.integers(0, 4, (40, 5)).astype(float)
