@@ -34,6 +34,12 @@ def test_scores_first_makes_its_windows_once(windows, tmp_path):
     assert d.run(w).count() == 253 and made.value == 253
 
 
+def test_rebuilding_makes_its_windows_once(windows):
+    w, made = windows
+    assert detector.rebuild_scores(w, 8, 6, 3, 3, 4, 8, 120, 100, 2).count() == 253
+    assert made.value <= 2 * 253  # a checkpoint computes a frame and writes it
+
+
 def test_nearest_centroids_are_those_of_the_differences():
     rng = np.random.default_rng(6)
     x, c = rng.integers(0, 4, (300, 5)).astype(float), rng.integers(0, 4, (40, 5)).astype(float)
